@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .lm import op2_lm_scoring
+from .media import op8_media_archive
+from .sharding import op5_two_pass_shuffle
+from .simhash import op6_simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op5_two_pass_shuffle": op5_two_pass_shuffle,
+    "op6_simhash": op6_simhash,
+    "op8_media_archive": op8_media_archive,
 }
 
 
