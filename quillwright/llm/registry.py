@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
+from .sentencepiece_tok import op9_sentencepiece
 from .sharding import op5_two_pass_shuffle
 from .simhash import op6_simhash
 
@@ -16,6 +17,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op6_simhash": op6_simhash,
     "op8_media_archive": op8_media_archive,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 
