@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op3_language_id
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
 from .sentencepiece_tok import op9_sentencepiece
@@ -14,6 +15,7 @@ from .simhash import op6_simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_language_id": op3_language_id,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op6_simhash": op6_simhash,
     "op8_media_archive": op8_media_archive,
