@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op3_language_id
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
+from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
 from .sharding import op5_two_pass_shuffle
 from .simhash import op6_simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_language_id": op3_language_id,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
