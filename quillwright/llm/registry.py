@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op3_language_id
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
+from .mixing import op7_soft_mixing
 from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
 from .sharding import op5_two_pass_shuffle
@@ -20,6 +21,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op6_simhash": op6_simhash,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_media_archive": op8_media_archive,
     "op9_sentencepiece": op9_sentencepiece,
 }
