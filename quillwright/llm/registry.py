@@ -14,11 +14,13 @@ from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
 from .sharding import op5_two_pass_shuffle
 from .simhash import op6_simhash
+from .suffix_dedup import op4_suffix_dedup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op6_simhash": op6_simhash,
     "op7_soft_mixing": op7_soft_mixing,
