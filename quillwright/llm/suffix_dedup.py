@@ -10,9 +10,8 @@ document; the result is exact for this definition.
 * These are dealt out by their prefix, sorted, and neighbours compared: suffixes that share PREFIX + j words are a run of
   neighbours with no lower common prefix. Then matches are extended to the left: inside a run, suffixes with the same
   l = WINDOW - 1 - j words before them share a window of MIN_WORDS words.
-* A prefix that occurs very often (a copied text, a common passage) is dealt over several parts by document. Windows left
-  without a partner in their part meet once more by a hash of the whole window, of which each part sends one row at
-  most: nothing is capped, and no group, however large, is one task's work.
+* A prefix that occurs very often (a copied text, a common passage) is dealt over several parts by document. Their
+  windows meet once more by a hash of the whole window, of which each part sends one row at most: nothing is capped, and no group, however large, is one task's work.
 * Windows that overlap are joined into a document's maximal repeated passages.
 
 Result: one row for each document that has a repeated passage; ``partners`` are ids of documents that share one with it (the
@@ -171,8 +170,8 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))
 
 
-def _classes(label: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: whether another document has its label, and a partner's id (of the least such document)."""
+def _classes(label: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: whether another document has its label, a partner's id (of the least such document), whether it is its label's first."""
     order = np.lexsort((doc, label))
     first = np.flatnonzero(_starts(label[order]))
     sizes = np.diff(np.append(first, len(order)))
@@ -181,7 +180,9 @@ def _classes(label: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     shared[order] = np.repeat(doc[low] != doc[high], sizes)
     lead = np.repeat(low, sizes)
     partner[order] = np.where(doc[order] == doc[lead], ids[np.repeat(high, sizes)], ids[lead])
-    return shared, partner
+    leads = np.zeros(len(order), bool)
+    leads[low] = True
+    return shared, partner, leads
 
 
 NONE = np.iinfo(np.int64).min  # stands for a null id in arrays
@@ -189,7 +190,7 @@ _MATCH = "doc bigint, doc_id bigint, start int, stop int, n_words int, partner b
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted neighbours' common prefixes, then extension to the left; also the lone windows of divided prefixes."""
+    """Sorted neighbours' common prefixes, then extension to the left; also one row of each window of a divided prefix."""
     for rows in whole_groups(batches, ["prefix", "part"]):
         prefix, part, doc, pos, n = (rows.column(c).to_numpy() for c in ("prefix", "part", "doc", "pos", "n_words"))
         ids = rows.column("doc_id").combine_chunks().fill_null(int(NONE)).to_numpy()
@@ -212,12 +213,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = np.flatnonzero((pos >= l) & (pos - l + MIN_WORDS <= n))
             if not len(fits):
                 continue
-            shared, partner = _classes(mix(run[fits] * _BASE ^ left[fits]), doc[fits], ids[fits])
+            shared, partner, leads = _classes(mix(run[fits] * _BASE ^ left[fits]), doc[fits], ids[fits])
             hit = fits[shared]
             low[hit] = np.minimum(low[hit], pos[hit] - l)
             high[hit] = np.maximum(high[hit], pos[hit] - l + MIN_WORDS)
             partners[hit] = np.where(partners[hit] == NONE, partner[shared], partners[hit])
-            lone = fits[~shared & (part[fits] > 0)]
+            lone = fits[leads & (part[fits] > 0)]
             if len(lone):
                 right = np.zeros(len(lone), np.uint64)
                 for j in range(_EXTRA - l):
@@ -237,11 +238,11 @@ def _matches(doc, ids, start, stop, n, partner, window, lone: bool) -> pa.Record
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lone windows, sorted by hash: those that another document has too."""
+    """Windows of divided prefixes, sorted by hash: those that another document has too."""
     for rows in whole_groups(batches, ["window"]):
         doc, start, stop, n, window = (rows.column(c).to_numpy() for c in ("doc", "start", "stop", "n_words", "window"))
         ids = rows.column("doc_id").combine_chunks().fill_null(int(NONE)).to_numpy()
-        shared, partner = _classes(window.view(np.uint64), doc, ids)
+        shared, partner, _ = _classes(window.view(np.uint64), doc, ids)
         if shared.any():
             yield _matches(doc[shared], ids[shared], start[shared], stop[shared], n[shared], partner[shared], window[shared].view(np.uint64), False)
 
