@@ -11,7 +11,7 @@ document; the result is exact for this definition.
   neighbours with no lower common prefix. Then matches are extended to the left: inside a run, suffixes with the same
   l = WINDOW - 1 - j words before them share a window of MIN_WORDS words.
 * A prefix that occurs very often (a copied text, a common passage) is dealt over several parts by document. Their
-  windows meet once more by a hash of the whole window, of which each part sends one row at most: nothing is capped, and no group, however large, is one task's work.
+  windows meet once more by a hash of the whole window, of which each part sends one document at most: nothing is capped, and no group, however large, is one task's work.
 * Windows that overlap are joined into a document's maximal repeated passages.
 
 Result: one row for each document that has a repeated passage; ``partners`` are ids of documents that share one with it (the
@@ -190,7 +190,7 @@ _MATCH = "doc bigint, doc_id bigint, start int, stop int, n_words int, partner b
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted neighbours' common prefixes, then extension to the left; also one row of each window of a divided prefix."""
+    """Sorted neighbours' common prefixes, then extension to the left; also one document of each window of a divided prefix."""
     for rows in whole_groups(batches, ["prefix", "part"]):
         prefix, part, doc, pos, n = (rows.column(c).to_numpy() for c in ("prefix", "part", "doc", "pos", "n_words"))
         ids = rows.column("doc_id").combine_chunks().fill_null(int(NONE)).to_numpy()
@@ -218,7 +218,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low[hit] = np.minimum(low[hit], pos[hit] - l)
             high[hit] = np.maximum(high[hit], pos[hit] - l + MIN_WORDS)
             partners[hit] = np.where(partners[hit] == NONE, partner[shared], partners[hit])
-            lone = fits[leads & (part[fits] > 0)]
+            lone = fits[(leads | ~shared) & (part[fits] > 0)]
             if len(lone):
                 right = np.zeros(len(lone), np.uint64)
                 for j in range(_EXTRA - l):
