@@ -72,7 +72,7 @@ class SoftClassifier:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def fit(self, texts: list, labels: np.ndarray, epochs: int = 150, rate: float = 0.3, decay: float = 1.0, strength: float = 20.0) -> SoftClassifier:
+    def fit(self, texts: list, labels: np.ndarray, epochs: int = 150, rate: float = 0.3, decay: float = 1.0, strength: float = 40.0) -> SoftClassifier:
         if not len(texts):
             return self
         memo, parts = WordHashes(), []
@@ -86,7 +86,7 @@ class SoftClassifier:
         df, size = have.sum(axis=1, keepdims=True), np.bincount(labels, minlength=k)[None, :]
         expected = df * size / len(labels)
         chi = (have - expected) ** 2 / np.maximum(1e-9, expected * (1 - size / len(labels)) * (1 - df / len(labels)))
-        telling = (df[:, 0] >= 4) & (chi.max(axis=1) >= strength)
+        telling = (df[:, 0] >= 6) & (chi.max(axis=1) >= strength)
         row, slot = row[telling[slot]], slot[telling[slot]]
         used, at = np.unique(slot, return_inverse=True)
         share = np.bincount(labels, minlength=k)
@@ -147,15 +147,18 @@ def rate_column(history: list[np.ndarray], domains: tuple[str, ...]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((q[k] * g[k] for k in range(1, len(q))), q[0] * g[0])))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, steps: int = STEPS) -> tuple[list[np.ndarray], dict]:
-    """Steps of the projected gradient over ``table`` (n_tokens, q_*); targets are shares of the present token total."""
+def fit_rates(table: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, steps: int = STEPS, relative: bool = False) -> tuple[list[np.ndarray], dict]:
+    """Steps of the projected gradient over ``table`` (n_tokens, q_*).
+
+    Targets are shares of the present token total or, if ``relative``, multiples of each domain's own present total.
+    """
     n, q = F.col("n_tokens").cast("double"), [F.col(f"q_{d}") for d in domains]
     k = len(domains)
     first = table.agg(*(F.coalesce(F.sum(n * q[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)), *(F.coalesce(F.sum(n * q[i] * q[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k))).first()
     now = np.array([first[f"t{i}"] for i in range(k)])
     gram = np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
     total = now.sum()
-    want = np.array([targets[d] for d in domains]) * total
+    want = np.array([targets[d] for d in domains]) * (now if relative else total)
     if total <= 0:
         return [], {"totals": now, "targets": want}
     weight = 1 / np.maximum(now, 1e-6 * total) ** 2
@@ -174,11 +177,11 @@ def fit_rates(table: DataFrame, targets: dict[str, float], domains: tuple[str, .
     return history, {"totals": reached, "targets": want}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", keep_text: bool = True, relative: bool = False) -> DataFrame:
     """``docs`` with n_tokens, q_<domain> and rate."""
     texts, domains = labelled_sample(docs, labels, text=text)
     table = cut(with_posteriors(docs, SoftClassifier().fit(texts, domains), text, keep_text), "mixing")
-    history, _ = fit_rates(table, targets)
+    history, _ = fit_rates(table, targets, relative=relative)
     return table.withColumn("rate", rate_column(history, DOMAINS))
 
 
