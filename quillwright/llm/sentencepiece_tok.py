@@ -124,7 +124,7 @@ class SentencePieceModel:
             model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unk_id, byte_fallback=self.byte_fallback)
         elif self.kind == BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unk_id][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=200_000)
+            model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unk_id][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=1_000)
         else:
             raise ValueError(f"model type {self.kind} is neither unigram (1) nor BPE (2)")
         if self.suffix:
@@ -157,7 +157,7 @@ def load(path: str = MODEL) -> SentencePieceModel:
 class Codec:
     """Encodes and decodes texts and verifies both, in a task of a Python worker."""
 
-    def __init__(self, data: bytes, threads: int, bound: int = 250_000) -> None:
+    def __init__(self, data: bytes, threads: int, bound: int = 100_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -254,8 +254,8 @@ def encode_decode(docs: DataFrame, text: str = "text", model: bytes | None = Non
         codec = Codec(data, threads)
         is_byte = np.array([kind == BYTE for _, _, kind in codec.model.pieces])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 null = np.array([t is None for t in texts])
                 flat, n, back, same, parity = codec.run([t or "" for t in texts])
