@@ -10,6 +10,7 @@ from .langid import op3_language_id
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
 from .mixing import op7_soft_mixing
+from .search import op10_topk_search
 from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
 from .sharding import op5_two_pass_shuffle
@@ -26,6 +27,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_soft_mixing": op7_soft_mixing,
     "op8_media_archive": op8_media_archive,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_topk_search": op10_topk_search,
 }
 
 
