@@ -1 +1,171 @@
-"""."""
+"""Entity resolution (J15-J18, E01-E19): suffix joins, dictionary tiers, alias mining, merges."""
+
+from __future__ import annotations
+
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import address, display_name, domain_suffixes, email_domain, first_match, matching_key, normal_name, person_like
+from ..registry import query
+
+
+def suffix_join(rows: DataFrame, domain: str, dims: DataFrame, longest: bool = False, small: bool = True) -> DataFrame:
+    """Each row with the dictionary entry whose domain equals the row's or is a parent of it.
+
+    The domain's suffixes are exploded once for each distinct domain and equi-joined with the dictionary: no nested loop.
+    An exact match wins, then the first entry in the dictionary's order (J15), or the longest suffix (J16). ``dims`` has
+    domain and ord; its other columns are added. The dictionary is broadcast only if ``small`` says that its size is bounded.
+    """
+    extra = [c for c in dims.columns if c != "domain"]
+    names = rows.select(F.col(domain).alias("__d")).filter("__d IS NOT NULL").distinct()
+    parts = names.select("__d", F.posexplode(domain_suffixes("__d")).alias("__depth", "domain"))
+    met = parts.join(F.broadcast(dims) if small else dims, "domain")
+    rank = F.struct("__depth", "ord") if longest else F.struct((F.col("__depth") > 0).cast("int"), "ord")
+    best = met.groupBy("__d").agg(F.min_by(F.struct(F.col("domain").alias("matched"), *extra), rank).alias("__m"))
+    return rows.join(best, rows[domain] == best["__d"], "left").select(*rows.columns, "__m.*")
+
+
+def contained_name(rows: DataFrame, text: Column, names: list[str], longest: bool = True) -> DataFrame:
+    """``rows`` with ``known_name``: the longest (or first) dictionary name that the text holds as whole words.
+
+    One alternation, longest first, is scanned once a row, instead of a theta join.
+    """
+    import re
+
+    order = sorted(names, key=lambda n: (-len(n), names.index(n))) if longest else names
+    pattern = r"(?iU)\b(" + "|".join(re.escape(n) for n in order) + r")\b"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    lower = {n.lower(): (i, n) for i, n in reversed(list(enumerate(order)))}
+    rank = F.create_map(*(F.lit(x) for k, (i, n) in lower.items() for x in (k, i)))
+    spelled = F.create_map(*(F.lit(x) for i, n in lower.values() for x in (i, n)))
+    return rows.withColumn("known_name", spelled[F.array_min(F.transform(found, lambda x: rank[F.lower(x)]))])
+
+
+def tiers(**candidates: Column) -> tuple[Column, Column]:
+    """(value, provenance) of the first tier with a value, in the order given."""
+    value = F.coalesce(*candidates.values())
+    source = F.coalesce(*(F.when(c.isNotNull(), name) for name, c in candidates.items()), F.lit("unresolved"))
+    return value, source
+
+
+def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The cascade: head-hunter, domain map, subject, body, sender name; noise is not resolved; aliases last."""
+    rows = messages.withColumn("sender_domain", email_domain("sender"))
+    rows = suffix_join(rows, "sender_domain", domains)
+    subject = first_match("subject", (r"\bat ([A-Z][\w&. -]*?)\s*$",))
+    body = first_match("body", (r"position @ ([A-Z]\w+)", r"applying to ([A-Z]\w+)"))
+    person = display_name("sender")
+    value, source = tiers(
+        headhunter_domain=F.when(F.col("kind") == "headhunter", ""),
+        domain_mapping=F.when(F.col("kind") == "company", F.col("company")),
+        subject_parse=subject,
+        body_regex=body,
+        sender_name_match=F.when(~person_like(person), F.nullif(person, F.lit(""))),
+    )
+    skip = F.coalesce(F.col("ml_label").isin("noise", "head_hunter"), F.lit(False))
+    out = rows.select(*messages.columns, F.when(~skip, F.nullif(value, F.lit(""))).alias("resolved"), F.when(skip, "skipped").otherwise(source).alias("provenance"))
+    known = aliases.groupBy(matching_key("alias").alias("__k")).agg(F.min_by("company", "ord").alias("__c"))
+    joined = out.join(F.broadcast(known), matching_key("resolved") == F.col("__k"), "left")  # the dictionary of aliases
+    return joined.withColumn("resolved", F.coalesce("__c", "resolved")).drop("__k", "__c")
+
+
+_SUFFIX = "WITH u AS (SELECT DISTINCT {src} AS d FROM {tab}), m AS (SELECT u.d, x.*, CASE WHEN x.domain = u.d THEN 0 ELSE 1 END AS far FROM u JOIN domains x ON x.domain = u.d OR ends_with(u.d, '.' || x.domain))"
+
+
+@query("j15_suffix_join", _SUFFIX.format(src="'mail.' || domain", tab="companies") + " SELECT c.id, min_by(m.domain, (m.far, m.ord)) AS matched, min_by(m.kind, (m.far, m.ord)) AS kind FROM companies c LEFT JOIN m ON m.d = 'mail.' || c.domain GROUP BY 1")
+def _(t):
+    rows = t.companies.select("id", F.concat(F.lit("mail."), "domain").alias("host"))
+    return suffix_join(rows, "host", t.domains).select("id", "matched", "kind")
+
+
+@query("j16_suffix_join_longest", _SUFFIX.format(src="domain", tab="companies") + " SELECT c.id, max_by(m.domain, (length(m.domain), -m.ord)) AS matched FROM companies c LEFT JOIN m ON m.d = c.domain GROUP BY 1")
+def _(t):
+    return suffix_join(t.companies.select("id", F.col("domain").alias("host")), "host", t.domains, longest=True).select("id", "matched")
+
+
+@query("j17_m06_job_board_noise", "SELECT id, CASE WHEN company_id % 20 = 9 AND ml_label IS DISTINCT FROM 'noise' THEN 'noise' ELSE ml_label END AS label FROM messages WHERE company_id % 20 = 9")
+def _(t):
+    rows = suffix_join(t.messages.withColumn("host", email_domain("sender")), "host", t.domains.filter("kind = 'job_board'"))
+    return rows.filter("kind = 'job_board'").select("id", F.lit("noise").alias("label"))
+
+
+@query("j18_known_name_in_text", r"WITH k AS (SELECT * FROM (VALUES ('Firm 1', 1), ('Firm 11', 2), ('Role 3', 3)) v(name, ord)) SELECT m.id, min_by(k.name, (-length(k.name), k.ord)) AS known_name FROM messages m LEFT JOIN k ON regexp_matches(m.subject, '(?i)\b' || k.name || '\b') GROUP BY 1")
+def _(t):
+    return contained_name(t.messages, F.col("subject"), ["Firm 1", "Firm 11", "Role 3"]).select("id", "known_name")
+
+
+@query("e01_e13_resolution_cascade", "WITH x AS (SELECT *, company_id % 20 AS d FROM messages), v AS (SELECT id, coalesce(ml_label IN ('noise', 'head_hunter'), false) AS skip, CASE WHEN d IN (3, 7) THEN '' WHEN d = 1 THEN 'Firm One' WHEN d = 2 THEN 'Firm Two' WHEN d = 4 THEN 'Firm Four' WHEN d = 5 THEN 'Firm Five' WHEN d = 6 THEN 'Firm Six' WHEN d IN (8, 9) THEN 'Firm ' || d ELSE 'Example Group' END AS value, CASE WHEN d IN (3, 7) THEN 'headhunter_domain' WHEN d IN (8, 9) THEN 'subject_parse' ELSE 'domain_mapping' END AS source FROM x) SELECT id, CASE WHEN skip THEN NULL ELSE nullif(value, '') END AS resolved, CASE WHEN skip THEN 'skipped' ELSE source END AS provenance FROM v")
+def _(t):
+    return resolve(t.messages, t.domains, t.aliases).select("id", "resolved", "provenance")
+
+
+@query("e13_restore_known_casing", "SELECT DISTINCT upper(m.name) AS raw, coalesce(a.company, upper(m.name)) AS resolved FROM (SELECT 'Firm ' || company_id % 20 AS name FROM messages) m LEFT JOIN aliases a ON lower(a.alias) = lower(m.name)")
+def _(t):
+    raw = t.messages.select(F.upper(F.concat(F.lit("Firm "), (F.col("company_id") % 20).cast("string"))).alias("raw")).distinct()
+    known = t.aliases.select(matching_key("alias").alias("k"), "company")
+    return raw.join(F.broadcast(known), matching_key("raw") == F.col("k"), "left").select("raw", F.coalesce("company", "raw").alias("resolved"))
+
+
+def sequence_ratio(candidates: DataFrame, names: list[str], column: str = "candidate", least: float = 0.75) -> DataFrame:
+    """Each candidate's most similar canonical name by Ratcliff-Obershelp's ratio; names are a dictionary of fixed size."""
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for c in part[column]:
+                scored = [(difflib.SequenceMatcher(None, (c or "").lower(), n.lower()).ratio(), -i, n) for i, n in enumerate(names)] or [(0.0, 0, None)]
+                ratio, _, name = max(scored)
+                found.append((name if ratio >= least else None, ratio))
+            yield part.assign(similar=[f[0] for f in found], ratio=[f[1] for f in found])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
+    return candidates.mapInPandas(best, f"{schema}, similar string, ratio double")
+
+
+@query("e14_f14_alias_mining")
+def _(t):
+    raw = t.messages.select(F.concat(F.lit("Frm "), (F.col("company_id") % 20).cast("string"), F.lit(" Inc.")).alias("candidate")).distinct()
+    return sequence_ratio(raw.select(normal_name("candidate").alias("candidate")), ["Firm One", "Firm 1", "Firm 2", "Example Group"])
+
+
+def merge_companies(companies: DataFrame, children: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Companies folded into their ``canonical`` (id, canonical), contacts recomputed; children reassigned."""
+    mapped = companies.join(canonical, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
+    merged = mapped.groupBy(F.col("canonical").alias("id")).agg(F.min_by("name", F.struct(F.col("id") != F.col("canonical"), "id")).alias("name"), F.min("first_contact").alias("first_contact"), F.max("last_contact").alias("last_contact"), F.count("*").alias("merged"))
+    moved = children.join(canonical.withColumnRenamed("id", "company_id"), "company_id", "left").withColumn("company_id", F.coalesce("canonical", "company_id")).drop("canonical")
+    return merged, moved
+
+
+@query("e15_m09_merge_by_domain", "WITH c AS (SELECT id, min(id) OVER (PARTITION BY domain) AS canonical, name, first_contact, last_contact FROM companies) SELECT canonical AS id, min(first_contact) AS first_contact, max(last_contact) AS last_contact, count(*) AS merged FROM c GROUP BY 1")
+def _(t):
+    least = t.companies.groupBy("domain").agg(F.min("id").alias("canonical"))
+    canonical = t.companies.join(least, "domain").select("id", "canonical")
+    return merge_companies(t.companies, t.messages, canonical)[0].select("id", "first_contact", "last_contact", "merged")
+
+
+@query("e16_k19_fill_from_dictionary", "SELECT c.id, coalesce(d.company, c.name) AS name FROM companies c LEFT JOIN (SELECT domain, min_by(company, ord) AS company FROM domains WHERE kind = 'company' GROUP BY 1) d ON d.domain = c.domain")
+def _(t):
+    d = t.domains.filter("kind = 'company'").groupBy("domain").agg(F.min_by("company", "ord").alias("company"))
+    return t.companies.join(F.broadcast(d), "domain", "left").select("id", F.coalesce("company", "name").alias("name"))
+
+
+@query("e17_domain_labels_by_precedence", "SELECT u.domain, CASE WHEN bool_or(d.kind = 'personal') THEN 'personal' WHEN bool_or(d.kind = 'ats') THEN 'ats' WHEN bool_or(d.kind = 'headhunter') THEN 'headhunter' WHEN bool_or(d.kind = 'job_board') THEN 'job_board' WHEN bool_or(d.kind = 'company') THEN 'company' END AS label FROM (SELECT DISTINCT domain FROM companies) u LEFT JOIN domains d USING (domain) GROUP BY 1")
+def _(t):
+    order = F.array(*map(F.lit, ("personal", "ats", "headhunter", "job_board", "company")))
+    kinds = t.domains.groupBy("domain").agg(F.min_by("kind", F.array_position(order, F.col("kind"))).alias("label"))
+    return t.companies.select("domain").distinct().join(F.broadcast(kinds), "domain", "left").select("domain", "label")
+
+
+@query("e18_k18_alias_approval", "WITH asked AS (SELECT * FROM (VALUES ('Firm 9', 'Firm Nine', true), ('Firm 1', 'Firm Uno', true), ('Firm 8', 'Firm Eight', false)) v(alias, company, approved)) SELECT alias, company FROM aliases WHERE alias NOT IN (SELECT alias FROM asked WHERE approved) UNION ALL SELECT alias, company FROM asked WHERE approved")
+def _(t):
+    asked = t.spark.createDataFrame([("Firm 9", "Firm Nine", True), ("Firm 1", "Firm Uno", True), ("Firm 8", "Firm Eight", False)], "alias string, company string, approved boolean").filter("approved")
+    return t.aliases.join(asked, "alias", "left_anti").select("alias", "company").unionByName(asked.select("alias", "company"))
+
+
+@query("e19_simple_resolver", r"SELECT id, coalesce(nullif(trim(regexp_extract(subject, '\bat ([A-Z][\w&. -]*?)\s*$', 1)), ''), regexp_extract(sender, '<([^>]*)>\s*$', 1)) AS company FROM messages")
+def _(t):
+    return t.messages.select("id", F.coalesce(first_match("subject", (r"\bat ([A-Z][\w&. -]*?)\s*$",)), address("sender")).alias("company"))
