@@ -1 +1,112 @@
-"""."""
+"""De-duplication (D01-D06, T02's batch form)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import body_hash
+from ..registry import query
+
+
+def keep_first(rows: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first by ``order``; an aggregate, so that a large group combines early."""
+    named = rows.withColumns({f"__k{i}": k if isinstance(k, Column) else F.col(k) for i, k in enumerate(keys)})
+    first = named.groupBy(*(f"__k{i}" for i in range(len(keys)))).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("x"))
+    return first.select("x.*")
+
+
+def kept_places(times: np.ndarray, window: float) -> np.ndarray:
+    """Greedy fold over sorted times: a row is kept if it is more than ``window`` after the last kept row."""
+    keep = np.zeros(len(times), bool)
+    i = 0
+    while i < len(times):
+        keep[i] = True
+        i = int(np.searchsorted(times, times[i] + window, side="right"))
+    return keep
+
+
+def near_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", order: str = "id", seconds: int = 5) -> DataFrame:
+    """``rows`` with ``kept``: false if a kept row of the same keys is at most ``seconds`` before.
+
+    Rows are compared with kept rows only, which a window cannot express. Rows farther apart than ``seconds`` from their
+    neighbours start a new chain (a lag over the key); each chain folds on its own, so that a key's rows are only together
+    as far as they really are close.
+    """
+    w = Window.partitionBy(*keys).orderBy(ts, order)
+    at = F.unix_micros(ts)
+    gap = at - F.lag(at).over(w)
+    chained = rows.withColumn("__new", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0))
+    chained = chained.withColumn("__chain", F.sum("__new").over(w)).drop("__new").withColumn("__us", at)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["__us", order], kind="stable")
+        part["kept"] = kept_places(part["__us"].to_numpy(), seconds * 1_000_000)
+        return part.drop(columns=["__us", "__chain"])
+
+    alone = chained.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__chain")))
+    single = alone.filter("__n = 1").drop("__n", "__chain", "__us").withColumn("kept", F.lit(True))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "kept boolean"])
+    folded = alone.filter("__n > 1").drop("__n").groupBy(*keys, "__chain").applyInPandas(fold, schema)
+    return single.unionByName(folded)
+
+
+def longest_of_clusters(rows: DataFrame, keys: list[str], ts: str = "ts", body: str = "body", order: str = "id", seconds: int = 5) -> DataFrame:
+    """Clusters of rows within ``seconds`` of the cluster's first row; the longest body of each stays."""
+    marked = near_dedup(rows, keys, ts, order, seconds)
+    cluster = F.sum(F.col("kept").cast("int")).over(Window.partitionBy(*keys).orderBy(ts, order))
+    return marked.withColumn("__c", cluster).groupBy(*keys, "__c").agg(F.max_by(F.struct(*rows.columns), F.struct(F.length(body), -F.col(order))).alias("x")).select("x.*")
+
+
+def outcome(blank: Column, newsletter: Column, related: Column, personal: Column, duplicate: Column, company_missing: Column) -> tuple[Column, Column]:
+    """(outcome, reason) by the first condition that holds."""
+    reason = F.when(blank, "blank_body").when(newsletter & ~related, "newsletter_headers").when(personal, "personal_domain").when(duplicate, "duplicate_hash").when(company_missing, "missing_company")
+    return F.when(reason.isNull(), "inserted").otherwise("ignored"), reason
+
+
+def reingest(old: DataFrame, new: DataFrame, key: str, values: list[str], overwrite_reviewed: bool = False) -> DataFrame:
+    """The union of two snapshots by key; new values win but for reviewed rows (unless asked)."""
+    o = old.select(key, F.struct("reviewed", *values).alias("o"))
+    n = new.select(key, F.struct(*values).alias("n"))
+    stay = F.col("n").isNull() | (F.coalesce(F.col("o.reviewed"), F.lit(False)) & F.lit(not overwrite_reviewed))
+    joined = o.join(n, key, "full_outer")
+    return joined.select(key, *(F.when(stay, F.col(f"o.{v}")).otherwise(F.col(f"n.{v}")).alias(v) for v in values), F.coalesce("o.reviewed", F.lit(False)).alias("reviewed"))
+
+
+@query("d01_f47_content_hash_dedup", r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))")
+def _(t):
+    return keep_first(t.documents.select("doc_id", "text"), [body_hash("text")], ["doc_id"]).select("doc_id")
+
+
+@query("d02_exact_dedup", "SELECT min(id) AS id FROM messages GROUP BY subject, sender, date_trunc('hour', ts)")
+def _(t):
+    return keep_first(t.messages.select("id", "subject", "sender", "ts"), ["subject", "sender", F.date_trunc("hour", "ts")], ["id"]).select("id")
+
+
+@query("d03_t02_near_dedup_greedy", "WITH RECURSIVE o AS (SELECT id, sender, ml_label, ts, row_number() OVER (PARTITION BY sender, ml_label ORDER BY ts, id) AS rn FROM messages WHERE ml_label IS NOT NULL), f AS (SELECT id, sender, ml_label, ts AS anchor, rn, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.id, o.sender, o.ml_label, CASE WHEN epoch_us(o.ts) - epoch_us(f.anchor) > 600000000 THEN o.ts ELSE f.anchor END, o.rn, epoch_us(o.ts) - epoch_us(f.anchor) > 600000000 FROM f JOIN o ON o.sender = f.sender AND o.ml_label = f.ml_label AND o.rn = f.rn + 1) SELECT id, kept FROM f")
+def _(t):
+    return near_dedup(t.messages.filter("ml_label IS NOT NULL").select("id", "sender", "ml_label", "ts"), ["sender", "ml_label"], seconds=600).select("id", "kept")
+
+
+@query("d04_w13_cluster_longest")
+def _(t):
+    return longest_of_clusters(t.messages.filter("ml_label IS NOT NULL").select("id", "sender", "ml_label", "ts", "body"), ["sender", "ml_label"], seconds=600).select("id")
+
+
+@query("d05_k03_reingest_upsert", "WITH n AS (SELECT id, 'other' AS ml_label, 0.5 AS confidence FROM messages WHERE id % 4 = 0 UNION ALL SELECT -1, 'new', 0.25) SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR coalesce(o.reviewed, false) THEN o.ml_label ELSE n.ml_label END AS ml_label, CAST(CASE WHEN n.id IS NULL OR coalesce(o.reviewed, false) THEN o.confidence ELSE n.confidence END AS DOUBLE) AS confidence, coalesce(o.reviewed, false) AS reviewed FROM messages o FULL JOIN n ON n.id = o.id")
+def _(t):
+    new = t.messages.filter("id % 4 = 0").select("id", F.lit("other").alias("ml_label"), F.lit(0.5).alias("confidence"))
+    new = new.union(t.spark.createDataFrame([(-1, "new", 0.25)], new.schema))
+    return reingest(t.messages, new, "id", ["ml_label", "confidence"])
+
+
+@query("d06_ignore_outcomes", "WITH h AS (SELECT min(id) AS first, body, subject FROM messages GROUP BY body, subject) SELECT CASE WHEN reason IS NULL THEN 'inserted' ELSE 'ignored' END AS outcome, reason, count(*) AS n FROM (SELECT CASE WHEN m.id % 50 = 0 THEN 'blank_body' WHEN m.id % 9 = 0 AND NOT contains(m.body, 'signup') THEN 'newsletter_headers' WHEN m.company_id % 20 = 8 THEN 'personal_domain' WHEN h.first < m.id THEN 'duplicate_hash' WHEN m.company_source IS NULL THEN 'missing_company' END AS reason FROM messages m JOIN h ON h.body = m.body AND h.subject = m.subject) GROUP BY 1, 2")
+def _(t):
+    first = t.messages.groupBy("body", "subject").agg(F.min("id").alias("first"))
+    m = t.messages.join(first, ["body", "subject"])
+    what, why = outcome(F.col("id") % 50 == 0, F.col("id") % 9 == 0, F.col("body").contains("signup"), F.col("company_id") % 20 == 8, F.col("first") < F.col("id"), F.col("company_source").isNull())
+    return m.groupBy(what.alias("outcome"), why.alias("reason")).agg(F.count("*").alias("n"))
+

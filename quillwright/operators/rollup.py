@@ -1 +1,148 @@
-"""."""
+"""State roll-up: message -> thread -> company."""
+
+from __future__ import annotations
+
+import os
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.sem import AS_OF, AS_OF_ORDERS, elapsed_days, is_not
+from ..registry import query
+
+MILESTONES = {"rejection": ("rejection", "rejected", "cancelled"), "interview": ("interview_invite", "interview"), "prescreen": ("prescreen",), "offer": ("offer",)}
+
+
+def days_until_ghosted(argument: int | None = None, setting: int | None = None, variable: str = "GHOSTED_DAYS_THRESHOLD", default: int = 30) -> int:
+    """argument, then setting, then environment, then the default; at least 1, at most 3650."""
+    env = os.environ.get(variable, "")
+    value = argument if argument is not None else setting if setting is not None else int(env) if env.strip().isdigit() else default
+    return max(1, min(3650, value))
+
+
+def thread_state(messages: DataFrame, interview_confidence: float = 0.7) -> DataFrame:
+    """One row a thread: milestone dates by label, latest label; one aggregate with map-side combine."""
+    day, label = F.to_date("ts"), F.col("ml_label")
+    sure = F.coalesce(F.col("confidence") >= interview_confidence, F.lit(False))
+    return messages.groupBy("thread_id").agg(
+        F.min_by("company_id", F.struct("ts", "id")).alias("company_id"),
+        F.min(day).alias("sent_date"),
+        F.max(F.when(label.isin(*MILESTONES["rejection"]), day)).alias("rejection_date"),
+        F.min(F.when(label.isin(*MILESTONES["interview"]) & sure, day)).alias("interview_date"),
+        F.min(F.when(label.isin(*MILESTONES["prescreen"]), day)).alias("prescreen_date"),
+        F.max_by(label, F.when(label.isNotNull(), F.struct("ts", "id"))).alias("ml_label"),
+        F.count("*").alias("messages"),
+    )
+
+
+_STATE = "SELECT thread_id, min_by(company_id, (ts, id)) AS company_id, min(CAST(ts AS DATE)) AS sent_date, max(CASE WHEN ml_label IN ('rejection', 'rejected', 'cancelled') THEN CAST(ts AS DATE) END) AS rejection_date, min(CASE WHEN ml_label IN ('interview_invite', 'interview') AND confidence >= 0.7 THEN CAST(ts AS DATE) END) AS interview_date, min(CASE WHEN ml_label = 'prescreen' THEN CAST(ts AS DATE) END) AS prescreen_date, max_by(ml_label, (ts, id)) FILTER (ml_label IS NOT NULL) AS ml_label, count(*) AS messages FROM messages GROUP BY 1"
+
+
+@query("r02_r03_thread_state", _STATE)
+def _(t):
+    return thread_state(t.messages)
+
+
+def propagate(state: dict, label: str, confidence: float, day) -> dict:  # noqa: ANN001  a date
+    """One message's effect on its thread: label and confidence; a milestone's date if it is empty, and the other
+    milestone's date cleared if it came from the same day."""
+    state = dict(state, ml_label=label, ml_confidence=confidence)
+    pair = {"prescreen": ("prescreen_date", "interview_date"), "interview_invite": ("interview_date", "prescreen_date")}.get(label)
+    if pair:
+        if state[pair[0]] is None:
+            state[pair[0]] = day
+        if state[pair[1]] is not None and state[pair[1]] == day:
+            state[pair[1]] = None
+    return state
+
+
+EMPTY_STATE = {"ml_label": None, "ml_confidence": None, "prescreen_date": None, "interview_date": None}
+STATE_SCHEMA = "thread_id string, ml_label string, ml_confidence double, prescreen_date date, interview_date date"
+
+
+def fold_threads(messages: DataFrame) -> DataFrame:
+    """R01 over a batch: an ordered fold for each thread (a thread is a conversation, so a group is small)."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        state = dict(EMPTY_STATE)
+        for r in part.sort_values(["ts", "id"], kind="stable").itertuples():
+            state = propagate(state, r.ml_label, r.confidence, r.ts.date())
+        return pd.DataFrame([{"thread_id": part["thread_id"].iloc[0], **state}])
+
+    return messages.filter("ml_label IS NOT NULL").select("thread_id", "id", "ts", "ml_label", "confidence").groupBy("thread_id").applyInPandas(fold, STATE_SCHEMA)
+
+
+@query("r01_label_propagation", "SELECT thread_id, max_by(ml_label, (ts, id)) AS ml_label, max_by(confidence, (ts, id)) AS ml_confidence, CAST(NULL AS DATE) AS prescreen_date, min(CASE WHEN ml_label = 'interview_invite' THEN CAST(ts AS DATE) END) AS interview_date FROM messages WHERE ml_label IS NOT NULL GROUP BY 1")
+def _(t):
+    return fold_threads(t.messages)
+
+
+@query("r04_r23_consistency_repair", "WITH s AS (SELECT company_id, max(CAST(ts AS DATE)) AS seen FROM messages WHERE ml_label = 'rejection' GROUP BY 1) SELECT t.thread_id, s.seen AS rejection_date FROM threads t JOIN s USING (company_id) WHERE t.rejection_date IS DISTINCT FROM s.seen AND t.status = 'rejected'")
+def _(t):
+    s = t.messages.filter("ml_label = 'rejection'").groupBy("company_id").agg(F.max(F.to_date("ts")).alias("seen"))
+    wrong = ~F.col("rejection_date").eqNullSafe(F.col("seen"))
+    return t.threads.filter("status = 'rejected'").join(s, "company_id").filter(wrong).select("thread_id", F.col("seen").alias("rejection_date"))
+
+
+def ghosted(threads: DataFrame, messages: DataFrame, companies: DataFrame, rejecting: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Threads to be marked: old, of no ``rejecting`` company, of a quiet company, neither head-hunter nor noise."""
+    cutoff = F.date_sub(F.lit(as_of).cast("date"), days)
+    still_open = F.col("rejection_date").isNull() & is_not("ml_label", "noise") & is_not("status", "ghosted", "rejected")
+    old = threads.filter(still_open & (F.col("sent_date") <= cutoff) & (F.col("interview_date").isNull() | (F.col("interview_date") <= cutoff)))
+    heads = companies.filter("status = 'headhunter'").select(F.col("id").alias("company_id"))
+    last = messages.groupBy("company_id").agg(F.max(F.to_date("ts")).alias("last_message"))
+    kept = old.join(rejecting.select("company_id"), "company_id", "left_anti").join(heads, "company_id", "left_anti").join(last, "company_id", "left")
+    quiet = F.coalesce("last_message", F.greatest("sent_date", "interview_date", "prescreen_date")) <= cutoff
+    return kept.filter(quiet).select("thread_id", F.lit("ghosted").alias("status"))
+
+
+def rejecting_companies(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """Companies with a rejection on a thread or in a message."""
+    return threads.filter("rejection_date IS NOT NULL").select("company_id").union(messages.filter("ml_label = 'rejection'").select("company_id"))
+
+
+@query("r05_t05_ghosting", f"WITH o AS (SELECT * FROM threads WHERE company_id % 3 = 0 OR rejection_date IS NULL), r AS (SELECT company_id FROM o WHERE rejection_date IS NOT NULL AND company_id % 2 = 0 UNION SELECT company_id FROM messages WHERE ml_label = 'rejection' AND confidence > 0.9), l AS (SELECT company_id, max(CAST(ts AS DATE)) AS d FROM messages WHERE confidence < 0.1 GROUP BY 1) SELECT t.thread_id, 'ghosted' AS status FROM o t LEFT JOIN l USING (company_id) WHERE t.rejection_date IS NULL AND t.ml_label IS DISTINCT FROM 'noise' AND t.status NOT IN ('ghosted', 'rejected') AND t.sent_date <= DATE '{AS_OF_ORDERS}' - 30 AND (t.interview_date IS NULL OR t.interview_date <= DATE '{AS_OF_ORDERS}' - 30) AND t.company_id NOT IN (SELECT company_id FROM r) AND t.company_id NOT IN (SELECT id FROM companies WHERE status = 'headhunter') AND coalesce(l.d, greatest(t.sent_date, t.interview_date, t.prescreen_date)) <= DATE '{AS_OF_ORDERS}' - 30")
+def _(t):
+    o = t.threads.filter("company_id % 3 = 0 OR rejection_date IS NULL")
+    # the events are later than all orders: some messages stand for activity, some for rejections, others are left out
+    rejecting = rejecting_companies(o.filter("company_id % 2 = 0"), t.messages.filter("confidence > 0.9"))
+    return ghosted(o, t.messages.filter("confidence < 0.1"), t.companies, rejecting, AS_OF_ORDERS, 30)
+
+
+def company_status(label: Column, age: Column, days: int) -> Column:
+    """Status from the latest labelled message and its age in whole days."""
+    return F.when(label.isin("rejection", "rejected"), "rejected").when(label == "head_hunter", "headhunter").when(label == "offer", "offer").when(age >= days, "ghosted").when(label == "interview_invite", "interview").when(label == "job_application", "application").otherwise("follow-up")
+
+
+@query("r06_company_status", f"WITH l AS (SELECT company_id, max_by(ml_label, (ts, id)) AS label, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS age FROM messages WHERE ml_label IS DISTINCT FROM 'noise' AND ml_label IS NOT NULL GROUP BY 1) SELECT company_id, CASE WHEN label IN ('rejection', 'rejected') THEN 'rejected' WHEN label = 'head_hunter' THEN 'headhunter' WHEN label = 'offer' THEN 'offer' WHEN age >= 2 THEN 'ghosted' WHEN label = 'interview_invite' THEN 'interview' WHEN label = 'job_application' THEN 'application' ELSE 'follow-up' END AS status FROM l")
+def _(t):
+    last = t.messages.filter("ml_label IS NOT NULL AND ml_label <> 'noise'").groupBy("company_id").agg(F.max_by("ml_label", F.struct("ts", "id")).alias("label"), F.max("ts").alias("ts"))
+    return last.select("company_id", company_status(F.col("label"), elapsed_days("ts", F.lit(AS_OF).cast("timestamp")), 2).alias("status"))
+
+
+@query("r07_label_sync", "SELECT thread_id FROM threads t WHERE ml_label <> 'job_application' AND EXISTS (SELECT 1 FROM messages m WHERE m.company_id = t.company_id AND m.ml_label = 'job_application')")
+def _(t):
+    apps = t.messages.filter("ml_label = 'job_application'").select("company_id")
+    return t.threads.filter("ml_label <> 'job_application'").join(apps, "company_id", "left_semi").select("thread_id")
+
+
+@query("r08_backfill_threads", "SELECT thread_id, min_by(company_id, (ts, id)) AS company_id, min(CAST(ts AS DATE)) AS sent_date, 'application' AS status FROM messages WHERE ml_label = 'job_application' AND company_id NOT IN (SELECT company_id FROM threads WHERE status = 'ghosted') GROUP BY 1")
+def _(t):
+    gone = t.threads.filter("status = 'ghosted'").select("company_id")
+    apps = t.messages.filter("ml_label = 'job_application'").join(gone, "company_id", "left_anti")
+    return apps.groupBy("thread_id").agg(F.min_by("company_id", F.struct("ts", "id")).alias("company_id"), F.min(F.to_date("ts")).alias("sent_date"), F.lit("application").alias("status"))
+
+
+@query("r09_local_date_repair", "WITH f AS (SELECT thread_id, min(ts) AS ts FROM messages GROUP BY 1) SELECT thread_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS sent_date FROM f WHERE CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) <> CAST(ts AS DATE)")
+def _(t):
+    from ..functions.sem import local_date
+
+    first = t.messages.groupBy("thread_id").agg(F.min("ts").alias("ts"))
+    return first.filter(local_date("ts") != F.to_date("ts")).select("thread_id", local_date("ts").alias("sent_date"))
+
+
+@query("r10_missing_milestones", "SELECT DISTINCT t.thread_id FROM threads t JOIN messages m USING (company_id) WHERE m.ml_label = 'interview_invite' AND NOT starts_with(m.subject, 'Re: ') AND t.interview_date IS NULL")
+def _(t):
+    told = t.messages.filter((F.col("ml_label") == "interview_invite") & ~F.col("subject").startswith("Re: ")).select("company_id")
+    return t.threads.filter("interview_date IS NULL").join(told, "company_id", "left_semi").select("thread_id")

@@ -88,5 +88,7 @@ def oracle(sql: str) -> str:
     tables = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', SQL[n])})" for n in dict.fromkeys(ordered)]
     if not tables:
         return sql
-    body = sql.strip()
-    return f"WITH {', '.join(tables)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+    body, word = sql.strip(), "WITH"
+    if body.upper().startswith("WITH RECURSIVE "):
+        body, word = "WITH " + body[15:], "WITH RECURSIVE"
+    return f"{word} {', '.join(tables)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
