@@ -199,7 +199,7 @@ def _(t):
     return c.groupBy("subject").agg(F.max_by("company_id", F.struct("n", -F.unix_micros("seen"), -F.col("company_id"))).alias("company_id"))
 
 
-@query("m22_all_noise_companies", "SELECT company_id FROM messages WHERE confidence < 0.02 GROUP BY 1 HAVING bool_and(ml_label IS NOT DISTINCT FROM 'noise' OR ml_label = 'other')")
+@query("m22_all_noise_companies", "SELECT company_id FROM messages WHERE confidence < 0.02 GROUP BY 1 HAVING bool_and(ml_label IS NOT DISTINCT FROM 'noise' OR coalesce(ml_label = 'other', false))")
 def _(t):
     noise = F.bool_and(F.col("ml_label").eqNullSafe("noise") | F.coalesce(F.col("ml_label") == "other", F.lit(False)))
     return t.messages.filter("confidence < 0.02").groupBy("company_id").agg(noise.alias("all_noise")).filter("all_noise").select("company_id")

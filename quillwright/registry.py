@@ -22,6 +22,8 @@ MODULES = [
     "operators.dedup",
     "operators.rollup",
     "operators.audits",
+    "operators.learning",
+    "streaming.flows",
 ]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
