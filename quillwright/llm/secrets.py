@@ -17,8 +17,10 @@ The combined p-value is four times the least one. A true secret has a uniform p-
 discoveries are controlled in strata of encoding and length (powers of two), because a short string's tests have less
 power: with m candidates in a stratum, (1 + #{p > 1/2}) / (m / 2) estimates the share of random ones (Storey), so the
 expected share of others among those with p >= t is known for each t, and the least t is taken that keeps it under
-``FDR``; never one under ``LEAST_P``. The strata's histograms are one small aggregate over the whole corpus; the table of thresholds has a
-fixed size bound (encodings x lengths) and is broadcast.
+``FDR``; never one under ``LEAST_P``. The test takes strings as independent, so a stratum's histogram counts each distinct
+string once (by a 64-bit hash), however often it is copied; the threshold holds for all its occurrences. In a stratum with few
+distinct strings the estimate is at its upper end, all random, and ``LEAST_P`` alone decides: every t counts there, not only
+those at which a string stands. The table of thresholds has a fixed size bound (encodings x lengths) and is broadcast.
 
 Documents are scanned once; what was found is cut to the shared folder, without texts, before the thresholds are known.
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -81,7 +83,7 @@ def _chi(x: str, df: str) -> str:
 
 
 def battery(given: DataFrame) -> DataFrame:
-    """``c``: array<struct<start, kind, end, value>> of candidates -> array<struct<start, end, stratum, bin>>."""
+    """``c``: array<struct<start, kind, end, value>> of candidates -> array<struct<start, end, hash, stratum, bin>>."""
     order = ["start", "end"]
 
     def step(rows: DataFrame, /, **fields: str) -> DataFrame:
@@ -121,19 +123,24 @@ def battery(given: DataFrame) -> DataFrame:
         f"if(x.spread <= 0, 0D, 2 * {_tail('(abs(x.cross / greatest(x.spread, 1e-9D) + 1 / x.n) * sqrt(x.n))')})",
     ]
     df = step(df, p=f"least(1D, 4 * least({', '.join(p)}))")
-    return df.withColumn("c", F.expr(f"transform(c, x -> named_struct('start', x.start, 'end', x.end, 'stratum', concat(x.code, ':', cast(floor(log2(x.n)) AS string)), 'bin', cast(least({BINS - 1}, floor(x.p * {BINS})) AS int)))"))
+    return df.withColumn("c", F.expr(f"transform(c, x -> named_struct('start', x.start, 'end', x.end, 'hash', xxhash64(x.v), 'stratum', concat(x.code, ':', cast(floor(log2(x.n)) AS string)), 'bin', cast(least({BINS - 1}, floor(x.p * {BINS})) AS int)))"))
 
 
 def thresholds(marked: DataFrame) -> dict[str, int]:
     """stratum -> least bin whose candidates are taken; a table of bounded size."""
-    counts = marked.select(F.explode("c").alias("x")).groupBy("x.stratum", "x.bin").count()
-    w = Window.partitionBy("stratum")
-    down = w.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    m, above = F.sum("count").over(w), F.sum("count").over(down)
-    true = F.least(m, (1 + F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count")).otherwise(0)).over(w)) / 0.5)
-    false_share = 1 - true * (1 - F.col("bin") / BINS) / above
-    kept = counts.withColumn("share", false_share).filter((F.col("share") <= FDR) & (F.col("bin") >= int(LEAST_P * BINS)))
-    return {r["stratum"]: r["bin"] for r in kept.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+    strings = marked.select(F.explode("c").alias("x")).select("x.stratum", "x.bin", "x.hash").distinct()
+    strata: dict[str, list[int]] = {}
+    for r in strings.groupBy("stratum", "bin").count().collect():  # encodings x lengths x bins
+        strata.setdefault(r["stratum"], [0] * BINS)[r["bin"]] = r["count"]
+    least = {}
+    for stratum, counts in strata.items():
+        true = min(sum(counts), (1 + sum(counts[BINS // 2 :])) / 0.5)
+        for t in range(int(LEAST_P * BINS), BINS):
+            above = sum(counts[t:])
+            if above and 1 - true * (1 - t / BINS) / above <= FDR:
+                least[stratum] = t
+                break
+    return least
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
