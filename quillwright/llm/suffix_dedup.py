@@ -171,8 +171,8 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _classes(label: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row: whether another document has its label, a partner's id (of the least such document), whether it is its label's first."""
-    order = np.lexsort((doc, label))
+    """For each row: whether another document has its label, a partner's id (of the least such document with an id), whether it is its label's first."""
+    order = np.lexsort((doc, ids == NONE, label))
     first = np.flatnonzero(_starts(label[order]))
     sizes = np.diff(np.append(first, len(order)))
     low, high = order[first], order[first + sizes - 1]
@@ -204,7 +204,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alike[1:] &= around[1:, j] == around[:-1, j]
             common[alike] = j + 1
         low, high = np.full(len(doc), np.iinfo(np.int32).max), np.full(len(doc), -1)
-        partners = np.full(len(doc), NONE)
+        partners, latest = np.full(len(doc), NONE), np.full(len(doc), NONE)
         left = np.zeros(len(doc), np.uint64)
         for l in range(WINDOW):  # l words of the window stand before the suffix
             if l:
@@ -217,7 +217,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = fits[shared]
             low[hit] = np.minimum(low[hit], pos[hit] - l)
             high[hit] = np.maximum(high[hit], pos[hit] - l + MIN_WORDS)
-            partners[hit] = np.where(partners[hit] == NONE, partner[shared], partners[hit])
+            found = partner[shared]
+            partners[hit] = np.where(partners[hit] == NONE, found, partners[hit])
+            more = (found != NONE) & (latest[hit] != NONE) & (latest[hit] != found)  # another class of the row: a match of its own
+            latest[hit] = np.where(found == NONE, latest[hit], found)
+            if more.any():
+                at = hit[more]
+                yield _matches(doc[at], ids[at], pos[at] - l, pos[at] - l + MIN_WORDS, n[at], found[more], np.zeros(len(at), np.uint64), False)
             lone = fits[(leads | ~shared) & (part[fits] > 0)]
             if len(lone):
                 right = np.zeros(len(lone), np.uint64)
