@@ -1,18 +1,19 @@
 """Shared plumbing of the training-data operators.
 
 * ``shared_dir`` / ``cut`` — the only places where lineage is cut; both use the folder named in
-  ``spark.checkpoint.dir``.
+  ``spark.checkpoint.dir``. ``scratch`` removes what was put there inside its block.
 * ``ShardedCounts`` — counts of 64-bit hashes over a whole corpus, kept as sorted arrays in files of the shared
   folder, one file per hash range, memory-mapped by the workers that look hashes up.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
-import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -28,10 +29,15 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # ---------------------------------------------------------------- shared folder
 
 
+_made: list[str] = []  # folders that this driver has put into the shared one
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session has none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a local session without one (tests) gets a temporary folder, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillwright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,16 +48,49 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, at = filesystem(path)
     fs.create_dir(at, recursive=True)
+    _made.append(path)
     return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables and folders made inside the block; a result must have been written elsewhere by then."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[mark:]:
+            remove(path)
+        del _made[mark:]
+
+
+def free(names: Iterable[str], wish: str) -> str:
+    """``wish``, with underscores before it until no column has the name (Spark's names ignore case)."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
+def without(names: Iterable[str], *gone: str) -> list[str]:
+    """``names`` but for those in ``gone``, whatever their case."""
+    out = {g.lower() for g in gone}
+    return [n for n in names if n.lower() not in out]
+
+
+def field(f) -> str:
+    """A field of a schema in DDL."""
+    return f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if not urlparse(path).scheme:
         path = os.path.abspath(path)
@@ -75,34 +114,36 @@ def write_file(path: str, *parts) -> None:
 
 
 class Mapped:
-    """Read-only arrays of the shared folder, memory-mapped.
+    """Read-only arrays of the shared folder.
 
-    Files of a local or mounted file system are mapped where they are. From any other store a file is first copied to
-    this worker's temporary folder; ``close`` (or leaving the ``with`` block) drops maps and copies.
+    Files of a local or mounted file system are memory-mapped where they are. Of any other store, which can't be mapped,
+    the files used last are held in memory, up to ``bound`` bytes. A missing file is an error.
     """
 
-    def __init__(self) -> None:
-        self._maps: dict[tuple[str, str], np.ndarray] = {}
-        self._own: str | None = None
+    def __init__(self, bound: int = 256 << 20) -> None:
+        self._maps: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+        self._held, self._bound = 0, bound
 
     def array(self, path: str, dtype) -> np.ndarray:
         key = (path, str(dtype))
-        if key not in self._maps:
-            fs, at = filesystem(path)
-            if not isinstance(fs, pafs.LocalFileSystem):
-                self._own = self._own or tempfile.mkdtemp(prefix="mapped-")
-                local = os.path.join(self._own, uuid.uuid4().hex)
-                with fs.open_input_stream(at) as src, open(local, "wb") as out:
-                    shutil.copyfileobj(src, out, 1 << 20)
-                at = local
-            self._maps[key] = np.memmap(at, dtype=dtype, mode="r") if os.path.getsize(at) else np.empty(0, dtype)
-        return self._maps[key]
+        if key in self._maps:
+            self._maps.move_to_end(key)
+            return self._maps[key]
+        fs, at = filesystem(path)
+        if isinstance(fs, pafs.LocalFileSystem):
+            found = np.memmap(at, dtype=dtype, mode="r") if os.path.getsize(at) else np.empty(0, dtype)
+        else:
+            with fs.open_input_stream(at) as src:
+                found = np.frombuffer(src.read(), dtype)
+            self._held += found.nbytes
+            while self._held > self._bound and self._maps:
+                self._held -= self._maps.popitem(last=False)[1].nbytes
+        self._maps[key] = found
+        return found
 
     def close(self) -> None:
         self._maps.clear()
-        if self._own:
-            shutil.rmtree(self._own, ignore_errors=True)
-            self._own = None
+        self._held = 0
 
     def __enter__(self) -> Mapped:
         return self
@@ -123,9 +164,9 @@ def plan_bytes(df: DataFrame) -> int:
     return total
 
 
-def pieces(df: DataFrame, target_bytes: int, most: int = 1 << 20) -> int:
+def pieces(df: DataFrame, target_bytes: int) -> int:
     """How many pieces of about ``target_bytes`` of input there are: grows in proportion to the input."""
-    return int(min(most, max(1, -(-plan_bytes(df) // target_bytes))))
+    return max(1, -(-plan_bytes(df) // target_bytes))
 
 
 def release(spark: SparkSession) -> None:
@@ -267,7 +308,7 @@ def count_hashes(docs: DataFrame, column: str, extract: Callable[[], Extractor],
     """
     spark = docs.sparkSession
     folder = new_folder(spark, name)
-    bits = max(0, int(np.ceil(np.log2(pieces(docs, shard_bytes, 1 << 16)))))
+    bits = max(0, int(np.ceil(np.log2(pieces(docs, shard_bytes)))))
     blobs = docs.select(column).mapInArrow(_blobs(bits, extract, column, flush), "shard int, keys binary, counts binary")
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:

@@ -114,7 +114,7 @@ def fit(docs: DataFrame, text: str = "text", *, shard_bytes: int = 16 << 20) ->
     v, start = vocab.distinct, vocab.distinct + 1
     if v >= 2**32 - 2:
         raise ValueError("more than 2^32 - 3 distinct words: ids no longer fit 32 bits")
-    folder, shards = new_folder(spark, "lm-bigrams"), pieces(docs, shard_bytes, 1 << 16)
+    folder, shards = new_folder(spark, "lm-bigrams"), pieces(docs, shard_bytes)
     salted = np.array(sorted({start} | {i for i, c in vocab.heavy.items() if c > vocab.total / (4 * shards)}), dtype=np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
