@@ -156,12 +156,13 @@ class Mapped:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``'s inputs (file sizes for file tables): no job is run."""
+    """Catalyst's size estimate of ``df``'s inputs (file sizes for file tables); where it has none (rows from the driver), the strings are measured."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        total += min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 50)
-    return total
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if total < 1 << 60:
+        return total
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(16)).cast("double"))).first()[0] or 0)
 
 
 def pieces(df: DataFrame, target_bytes: int) -> int:

@@ -276,8 +276,8 @@ def test_sentencepiece(spark, docs, none, rows):
 def test_search(spark, docs, none, rows):
     asked = docs.filter(F.col("doc_id") % 5 == 0)
     got = collections.defaultdict(list)
-    for r in search.search(docs, asked, k=4).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.doc_id, round(r.score, 6)))
+    for r in search.search(docs, asked, k=4).orderBy("query_id", "rank", "doc_id").collect():
+        got[r.query_id].append((r.rank, r.doc_id, round(r.score, 6)))
     texts = [(i, words_of((t or "").encode())) for i, t, *_ in rows]
     n, mean = len(texts), sum(len(w) for _, w in texts) / len(texts)
     df = collections.Counter(w for _, x in texts for w in set(x))
@@ -289,7 +289,8 @@ def test_search(spark, docs, none, rows):
             tf = collections.Counter(x)
             s = sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in set(words) if w in tf)
             if s > 0:
-                scored.append((-round(s, 6), i is None, i))
-        want = [(i, -s) for s, _, i in sorted(scored)[:4]]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-6)
+                scored.append((-round(s, 9), i is None, i))
+        want = [(rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scored)[:4], 1)]
+        assert [x[:2] for x in got[q]] == [x[:2] for x in want]  # ids and ranks; ties by id
+        assert [s for *_, s in got[q]] == pytest.approx([s for *_, s in want], abs=2e-6)
     assert search.search(none, none).count() == 0
