@@ -2,11 +2,12 @@
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``): leftmost and non-overlapping for each kind; a span
 is the whole match, in code points. Positions come from splitting at the pattern: the lengths of the pieces between
-matches and of the matches add up to them.
+matches and of the matches add up to them. Running sums and maxima over an array are taken in pieces (``scan``), so that a
+text with very many matches isn't copied again for each of them.
 
 The battery adds ``random`` spans. Candidates are runs of 20 or more characters of the base64 and base64url alphabets; each
-gets the encoding inferred from its characters: lower or upper hex (letters and digits), base32 (A-Z and 2-7, both),
-base64 or base64url (both cases and digits). Tests of the null hypothesis "uniform over the encoding's alphabet":
+gets the encoding inferred from its characters, the narrowest that has them all: lower or upper hex, base32 (A-Z and 2-7), lower or
+upper base36 (each with letters and digits), base62, base64 or base64url (each with both cases and digits). Tests of the null hypothesis "uniform over the encoding's alphabet":
 
 * chi-squared over the alphabet's symbols, and over its classes (upper, lower, digits, marks), which has power where a
   short string leaves few occurrences for each symbol (Wilson-Hilferty approximation);
@@ -32,11 +33,12 @@ repeated; very long texts are scanned whole; an empty table gives an empty resul
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free, without
 
 KINDS = ("assign", "access", "hex", "random")
 # the contract's patterns; the minimum lengths of access and hex are inside, as their runs are maximal either way
@@ -49,26 +51,65 @@ _CODES = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "b32": string.ascii_uppercase + "234567",
+    "b36": string.ascii_lowercase + string.digits,
+    "B36": string.ascii_uppercase + string.digits,
+    "b62": string.ascii_uppercase + string.ascii_lowercase + string.digits,
     "b64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
     "url": string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
 }
 
 
+_PIECE = 128
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def scan(values: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Running results of ``add`` (associative) over an array: in pieces of a fixed size, then over the pieces' last results."""
+
+    def running(xs: Column) -> Column:
+        grow = lambda acc, x: F.concat(acc, F.array(add(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x)))
+        return F.aggregate(xs, F.array().cast("array<int>"), grow)
+
+    def whole(pieces: Column) -> Column:
+        before = F.concat(F.array(zero), running(F.transform(pieces, lambda p: F.element_at(p, -1))))
+        return let(before, lambda low: F.flatten(F.transform(pieces, lambda p, k: F.transform(p, lambda x: add(F.get(low, k), x)))))
+
+    def cut_up(xs: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _PIECE).cast("int"))
+        pieces = F.transform(at, lambda k: running(F.slice(xs, k * _PIECE + 1, F.lit(_PIECE))))
+        return F.when(F.size(xs) > _PIECE, let(pieces, whole)).otherwise(running(xs))
+
+    return let(values, cut_up)
+
+
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's matches, leftmost and non-overlapping."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    empty = F.lit([]).cast(_SPANS)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.when(F.size(acc) > 0, acc[F.size(acc) - 1]["end"]).otherwise(0) + F.length(x["g"])
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
-        return F.concat(acc, F.array(one))
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = scan(F.zip_with(found, gaps, lambda m, g: F.length(m) + F.length(g)), lambda a, b: a + b, F.lit(0))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), e.alias("end"), m.alias("value")))
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(F.array().cast(_SPANS))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step)).otherwise(empty)
+def inside(spans: Column, base: Column) -> Column:
+    """array<boolean> for ``spans`` in order of their starts: whether a span of ``base`` holds one whole."""
+    shape = lambda xs, own: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end")))
+
+    def held(every: Column) -> Column:
+        reach = scan(F.transform(every, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0)), F.greatest, F.lit(0))
+        both = F.zip_with(every, reach, lambda x, r: F.struct(x["own"].alias("own"), (r >= x["end"]).alias("held")))
+        return F.transform(F.filter(both, lambda x: x["own"] == 1), lambda x: x["held"])
+
+    return let(F.array_sort(F.concat(shape(base, 0), shape(spans, 1))), held)
 
 
 def _tail(z: str) -> str:
@@ -83,8 +124,8 @@ def _chi(x: str, df: str) -> str:
 
 
 def battery(given: DataFrame) -> DataFrame:
-    """``c``: array<struct<start, kind, end, value>> of candidates -> array<struct<start, end, hash, stratum, bin>>."""
-    order = ["start", "end"]
+    """``c``: array<struct<start, end, value, inside>> of candidates -> array<struct<start, end, inside, hash, stratum, bin>>."""
+    order = ["start", "end", "inside"]
 
     def step(rows: DataFrame, /, **fields: str) -> DataFrame:
         named = ", ".join([*(f"'{k}', x.{k}" for k in order), *(f"'{k}', {e}" for k, e in fields.items())])
@@ -94,10 +135,10 @@ def battery(given: DataFrame) -> DataFrame:
     both = "x.v rlike '[0-9]' AND x.v rlike '[a-zA-Z]'"
     three = "x.v rlike '[0-9]' AND x.v rlike '[a-z]' AND x.v rlike '[A-Z]'"
     code = f"""CASE WHEN NOT ({both}) THEN NULL WHEN x.v rlike '^[0-9a-f]+$' THEN 'hex' WHEN x.v rlike '^[0-9A-F]+$' THEN 'HEX' WHEN x.v rlike '^[A-Z2-7]+$' THEN 'b32'
-        WHEN NOT ({three}) THEN NULL WHEN x.v rlike '^[A-Za-z0-9+/]+$' THEN 'b64' WHEN x.v rlike '^[A-Za-z0-9_-]+$' THEN 'url' END"""
+        WHEN x.v rlike '^[a-z0-9]+$' THEN 'b36' WHEN x.v rlike '^[A-Z0-9]+$' THEN 'B36' WHEN NOT ({three}) THEN NULL WHEN x.v rlike '^[A-Za-z0-9]+$' THEN 'b62' WHEN x.v rlike '^[A-Za-z0-9+/]+$' THEN 'b64' WHEN x.v rlike '^[A-Za-z0-9_-]+$' THEN 'url' END"""
     alphabet = "CASE x.code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " END"
     only = lambda cls: f"(x.n - length(regexp_replace(x.v, '[{cls}]', '')))"
-    df = given.withColumn("c", F.expr("transform(c, x -> named_struct('start', x.start, 'end', x.end, 'v', rtrim('=', x.value)))"))
+    df = given.withColumn("c", F.expr("transform(c, x -> named_struct('start', x.start, 'end', x.end, 'inside', x.inside, 'v', rtrim('=', x.value)))"))
     order.append("v")
     df = step(df, code=code).withColumn("c", F.expr("filter(c, x -> x.code IS NOT NULL)"))
     df = step(df, n="cast(length(x.v) AS double)", a=alphabet)
@@ -110,11 +151,14 @@ def battery(given: DataFrame) -> DataFrame:
         cross="aggregate(zip_with(slice(x.i, 1, size(x.i) - 1), slice(x.i, 2, size(x.i) - 1), (p, q) -> (p - x.mean) * (q - x.mean)), 0D, (p, q) -> p + q)",
         spread="aggregate(x.i, 0D, (p, q) -> p + (q - x.mean) * (q - x.mean))",
         classes="""CASE x.code WHEN 'b32' THEN power(x.upper, 2) / (x.n * 26 / 32) + power(x.digit, 2) / (x.n * 6 / 32) - x.n
+            WHEN 'b36' THEN power(x.lower, 2) / (x.n * 26 / 36) + power(x.digit, 2) / (x.n * 10 / 36) - x.n
+            WHEN 'B36' THEN power(x.upper, 2) / (x.n * 26 / 36) + power(x.digit, 2) / (x.n * 10 / 36) - x.n
+            WHEN 'b62' THEN power(x.upper, 2) / (x.n * 26 / 62) + power(x.lower, 2) / (x.n * 26 / 62) + power(x.digit, 2) / (x.n * 10 / 62) - x.n
             WHEN 'b64' THEN power(x.upper, 2) / (x.n * 26 / 64) + power(x.lower, 2) / (x.n * 26 / 64) + power(x.n - x.upper - x.lower, 2) / (x.n * 12 / 64) - x.n
             WHEN 'url' THEN power(x.upper, 2) / (x.n * 26 / 64) + power(x.lower, 2) / (x.n * 26 / 64) + power(x.n - x.upper - x.lower, 2) / (x.n * 12 / 64) - x.n
             ELSE power(x.digit, 2) / (x.n * 10 / 16) + power(x.n - x.digit, 2) / (x.n * 6 / 16) - x.n END""",
     )
-    df = step(df, mu="2 * x.high * (x.n - x.high) / x.n + 1", df="if(x.code IN ('b64', 'url'), 2D, 1D)")
+    df = step(df, mu="2 * x.high * (x.n - x.high) / x.n + 1", df="if(x.code IN ('b62', 'b64', 'url'), 2D, 1D)")
     df = step(df, var="(x.mu - 1) * (x.mu - 2) / (x.n - 1)")
     p = [
         _chi("greatest(0D, x.squares * x.k / x.n - x.n)", "(x.k - 1)"),
@@ -123,7 +167,7 @@ def battery(given: DataFrame) -> DataFrame:
         f"if(x.spread <= 0, 0D, 2 * {_tail('(abs(x.cross / greatest(x.spread, 1e-9D) + 1 / x.n) * sqrt(x.n))')})",
     ]
     df = step(df, p=f"least(1D, 4 * least({', '.join(p)}))")
-    return df.withColumn("c", F.expr(f"transform(c, x -> named_struct('start', x.start, 'end', x.end, 'hash', xxhash64(x.v), 'stratum', concat(x.code, ':', cast(floor(log2(x.n)) AS string)), 'bin', cast(least({BINS - 1}, floor(x.p * {BINS})) AS int)))"))
+    return df.withColumn("c", F.expr(f"transform(c, x -> named_struct('start', x.start, 'end', x.end, 'inside', x.inside, 'hash', xxhash64(x.v), 'stratum', concat(x.code, ':', cast(floor(log2(x.n)) AS string)), 'bin', cast(least({BINS - 1}, floor(x.p * {BINS})) AS int)))"))
 
 
 def thresholds(marked: DataFrame) -> dict[str, int]:
@@ -146,17 +190,20 @@ def thresholds(marked: DataFrame) -> dict[str, int]:
 def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: array<struct<start, kind, end>>, kind an index of ``KINDS``, sorted."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("c", "base", "spans") and (keep_text or c != text)]
+    kept = without(docs.columns, "base", "spans", *([] if keep_text else [text]))
+    own = {c: free(docs.columns, f"_{i}") for i, c in enumerate(kept)}  # the battery's own columns may have any name of theirs
     strong = F.filter(matches(t, ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 1)) >= 6)
     base = F.concat(strong, matches(t, ACCESS, "access"), matches(t, HEX, "hex"))
     base = F.array_sort(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    found = battery(docs.select(*kept, base.alias("base"), matches(t, CANDIDATE, "random").alias("c")))
-    found = cut(found, "secrets")
+    marked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), base.alias("base"), matches(t, CANDIDATE, "random").alias("c"))
+    flags = F.when(F.size("c") > 0, inside(F.col("c"), F.col("base"))).otherwise(F.array().cast("array<boolean>"))
+    marked = marked.withColumn("c", F.zip_with("c", flags, lambda x, held: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), held.alias("inside"))))
+    found = cut(battery(marked), "secrets")
     least = thresholds(found)
     limit = F.create_map(*(F.lit(x) for kv in least.items() for x in kv)) if least else F.lit(None).cast("map<string,int>")
-    new = F.filter("c", lambda x: (x["bin"] >= limit[x["stratum"]]) & ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+    new = F.filter("c", lambda x: (x["bin"] >= limit[x["stratum"]]) & ~x["inside"])
     new = F.transform(new, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")))
-    return found.select(*kept, "base", F.array_sort(F.concat("base", new)).alias("spans"))
+    return found.select(*(F.col(n).alias(c) for c, n in own.items()), "base", F.array_sort(F.concat("base", new)).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -167,16 +214,16 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; a null text stays null."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
     found = find_secrets(docs, text)
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, rest)).otherwise(F.col(text))
+    size = F.length(text)
+    # spans may overlap: a gap starts where the spans before end, and lasts up to the next start
+    ends = scan(F.transform("spans", lambda s: s["end"]), F.greatest, F.lit(0))
+    starts, lows = F.concat(F.transform("spans", lambda s: s["start"]), F.array(size)), F.concat(F.array(F.lit(0)), ends)
+    gaps = F.filter(F.zip_with(lows, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["b"] >= g["a"])
+    few = F.array_join(F.transform(gaps, lambda g: F.substring(F.col(text), g["a"] + 1, g["b"] - g["a"])), mark)
+    # a substring is looked for from the text's start: of a text with many gaps the characters are split once instead
+    many = let(F.split(text, ""), lambda cs: F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(cs, g["a"] + 1, g["b"] - g["a"]), "")), mark))
+    clean = F.when(F.size("spans") == 0, F.col(text)).when(F.size("spans") <= _PIECE, few).otherwise(many)
     return found.withColumn(text, clean).select(*docs.columns)
 
 
