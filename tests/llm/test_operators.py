@@ -217,17 +217,26 @@ def test_mixing(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
     targets = {"high": 0.9, "low": 0.0, "toxic": 0.1}
     got = mixing.mix(table, labels, targets).toPandas()
-    # least squares with r >= 0, solved to the end in numpy
+    # ridge least squares with r >= 0, by plain projected gradient in numpy
     n, q = got.n_tokens.to_numpy(float), got[[f"q_{d}" for d in mixing.DOMAINS]].to_numpy()
-    a, now, want = q * n[:, None], (q * n[:, None]).sum(axis=0), np.array([targets[d] for d in mixing.DOMAINS]) * n.sum()
-    weight = 1 / now**2
-    size = 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * (q.T @ a) * np.sqrt(weight)[None, :]).max()
+    a, want = q * n[:, None], np.array([targets[d] for d in mixing.DOMAINS]) * n.sum()
+    weight = 1 / np.maximum(a.sum(axis=0), mixing.LEAST_SHARE * n.sum()) ** 2
+    ridge = mixing.RIDGE / n.sum()
+    size = 1 / (np.linalg.eigvalsh(np.sqrt(weight)[:, None] * (q.T @ a) * np.sqrt(weight)[None, :]).max() + ridge)
     best = np.ones(len(n))
     for _ in range(20_000):
-        best = np.maximum(0, best - size * q @ (weight * (a.T @ best - want)))
-    loss = lambda r: float((weight * (a.T @ r - want) ** 2).sum())
-    assert loss(got.rate.to_numpy()) <= loss(best) + 0.05 * loss(np.ones(len(n)))
+        best = np.maximum(0, best - size * (q @ (weight * (a.T @ best - want)) + ridge * (best - 1)))
+    loss = lambda r: float((weight * (a.T @ r - want) ** 2).sum() + ridge * (n * (r - 1) ** 2).sum())
+    assert loss(got.rate.to_numpy()) <= loss(best) * 1.001 and got.kkt.max() <= mixing.TOLERANCE
+    reached = got[[f"reached_{d}" for d in mixing.DOMAINS]].to_numpy()
+    assert np.allclose(reached, (a * got.rate.to_numpy()[:, None]).sum(axis=0) / n.sum())
     assert got[got.doc_id % 4 == 0].rate.max() < got[got.doc_id % 4 != 0].rate.min()
+    # rows drawn by the rates have the totals of the rates, in expectation
+    drawn = mixing.draw(mixing.mix(table, labels, gone="toxic"), keys=("doc_id",)).toPandas()
+    kept = mixing.mix(table, labels, gone="toxic").toPandas()
+    share = lambda x, r: (x[[f"q_{d}" for d in mixing.DOMAINS]].to_numpy() * (x.n_tokens.to_numpy() * r)[:, None]).sum(axis=0) / n.sum()
+    assert np.allclose(share(drawn, 1.0), share(kept, kept.rate.to_numpy()), atol=0.03)
+    assert (drawn.groupby("doc_id").size().reindex(kept.doc_id).fillna(0).to_numpy() - np.floor(kept.rate)).isin([0, 1]).all()
     assert (got.rate >= 0).all()
     assert mixing.mix(docs, labels.limit(0)).count() == docs.count()
     assert mixing.mix(none, labels).count() == 0
