@@ -50,33 +50,47 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_lm_scores(docs, none, rows):
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 20_000])
+def test_lm_scores(docs, none, rows, shard_bytes):
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    got = collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in lm.score(docs.select("doc_id", "text"), ~held).collect())
+    got = collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in lm.score(docs, ~held, shard_bytes=shard_bytes).collect())
     seqs = [(i, [*words_of((t or "").encode()), None]) for i, t, *_ in rows]
     train = [x for i, x in seqs if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
-    c, b = collections.Counter(w for x in train for w in x), collections.Counter(p for x in train for p in zip([0, *x], x))
+    c = collections.Counter(w for x in train for w in x)
+    tri = collections.Counter(g for x in train for g in zip([0, *x], x, x[1:]))
+    bi = collections.Counter((v, w) for _, v, w in tri) + collections.Counter((0, x[0]) for x in train)
+    seen = collections.Counter(w for _, w in bi)
     n, v = sum(c.values()), len(c)
-    ctx, seen = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-    for (a, w), k in b.items():
-        ctx[a][0] += k
-        ctx[a][min(k, 3)] += 1
-        seen[w] += 1
-    d2 = lm.discounts(np.array([sum(1 for x in b.values() if x == k) for k in (1, 2, 3, 4)]))
+
+    def statistics(grams):
+        found = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for g, k in grams.items():
+            found[g[:-1]][0] += k
+            found[g[:-1]][min(k, 3)] += 1
+        return found, lm.discounts(np.array([sum(1 for x in grams.values() if x == k) for k in (1, 2, 3, 4)]))
+
+    (ctx3, d3), (ctx2, d2) = statistics(tri), statistics(bi)
     d1 = lm.discounts(np.array([sum(1 for x in seen.values() if x == k) for k in (1, 2, 3, 4)]))
-    free = sum(d1[min(x, 3)] for x in seen.values()) / len(b)
+    free = sum(d1[min(x, 3)] for x in seen.values()) / len(bi)
 
     def p1(w):
-        return max(seen[w] - d1[min(seen[w], 3)], 0) / len(b) + free / (v + 1)
+        return max(seen[w] - d1[min(seen[w], 3)], 0) / len(bi) + free / (v + 1)
+
+    def level(gram, grams, ctx, d, low):
+        if gram[:-1] not in ctx:
+            return low
+        k, (held, *many) = grams.get(gram, 0), ctx[gram[:-1]]
+        return max(k - d[min(k, 3)], 0) / held + sum(d[j] * many[j - 1] for j in (1, 2, 3)) / held * low
 
-    def p2(a, w):
-        if a not in ctx:
-            return p1(w)
-        k = b.get((a, w), 0)
-        return max(k - d2[min(k, 3)], 0) / ctx[a][0] + sum(d2[j] * ctx[a][j] for j in (1, 2, 3)) / ctx[a][0] * p1(w)
+    def p(x, k):
+        one = level(((0, *x)[k], x[k]), bi, ctx2, d2, p1(x[k]))
+        return level(((0, *x)[k - 1], x[k - 1], x[k]), tri, ctx3, d3, one) if k else one
 
     assert math.isclose(sum(map(p1, c)) + free / (v + 1), 1)
-    want = collections.Counter((i, len(x), sum(c[w] > 0 for w in x), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 5), round(sum(math.log10(p2(a, w)) for a, w in zip([0, *x], x)), 5)) for i, x in seqs)
+    for context in list(ctx3)[:5]:  # probabilities of a context add up to 1
+        unknown = level((*context, "?"), tri, ctx3, d3, level((context[1], "?"), bi, ctx2, d2, p1("?")))
+        assert math.isclose(sum(level((*context, w), tri, ctx3, d3, level((context[1], w), bi, ctx2, d2, p1(w))) for w in c) + unknown, 1)
+    want = collections.Counter((i, len(x), sum(c[w] > 0 for w in x), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 5), round(sum(math.log10(p(x, k)) for k in range(len(x))), 5)) for i, x in seqs)
     assert got == want
     assert lm.score(none.select("doc_id", "text"), F.lit(True)).count() == 0
 
