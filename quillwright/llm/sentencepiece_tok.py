@@ -8,9 +8,10 @@ and byte fallback. Texts are encoded in batches on several threads.
 A piece with a marker after another character does not exist in most vocabularies (this is verified when a model is
 loaded); no merge or piece then crosses the start of a run of markers, texts are split there into chunks. If such a piece exists, texts are encoded unsplit.
 
-A task encodes each distinct chunk that it meets once, in batches, decodes it again and encodes it with the sentencepiece
-library too; a text's ids and decoded text are those of its chunks, in order. ``parity`` tells whether the two libraries
-agree on all of a text's chunks, ``roundtrip`` whether the decoded text is the normalised one.
+A task encodes each distinct chunk that it meets once, in batches, and a text's ids are those of its chunks, in order. Every whole
+text is encoded with the sentencepiece library too; where the ids differ, the text is encoded once more, unsplit. ``parity`` tells
+whether the two libraries agree on the whole text. ``decoded`` comes from the text's ids alone: pieces with the marker as a space,
+byte pieces as bytes, without the dummy prefix; ``roundtrip`` tells whether it is the normalised text.
 
 Defined results: null — null ids, zero tokens, ``roundtrip`` null; empty text — no token; unknown characters — bytes, or
 the unknown piece in a model without byte fallback (``roundtrip`` is then false); repeated rows — equal results; extra
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges
+from .common import field, free, ranges, without
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -148,6 +149,18 @@ class SentencePieceModel:
         """The text that decoding has to give back, for models without a character map."""
         return re.sub(" {2,}", " ", text.strip(" ")) if self.squeeze else text
 
+    def surfaces(self) -> list[bytes]:
+        """What each id stands for in a decoded text."""
+        out = []
+        for piece, _, kind in self.pieces:
+            if kind == BYTE:
+                out.append(bytes([int(piece[3:5], 16)]))
+            elif kind in (CONTROL, UNKNOWN):
+                out.append(self.unk_surface.encode() if kind == UNKNOWN else b"")
+            else:
+                out.append(piece.replace(MARK, " ").encode() if self.escape else piece.encode())
+        return out
+
 
 def load(path: str = MODEL) -> SentencePieceModel:
     with open(path, "rb") as f:
@@ -169,74 +182,100 @@ class Codec:
         self.by_chunk = m.splits and m.dummy_prefix and m.escape and not (m.charsmap or m.squeeze)
         self.starts = np.array([p[0].startswith(MARK) for p in m.pieces])
         self.mark = [i for i, p in enumerate(m.pieces) if p[0] == MARK]
+        shown = m.surfaces()
+        self.shown, self.size = np.frombuffer(b"".join(shown), np.uint8), np.array(list(map(len, shown)), np.int64)
+        self.shown_at = np.cumsum(self.size) - self.size
         self.clear()
 
     def clear(self) -> None:
-        """Forget all chunks. A chunk's index gives its ids, whether the libraries agree, and its decoded form if it differs."""
+        """Forget all chunks. A chunk's index gives its ids."""
         self.index: dict[str, int] = {}
-        self.flat, self.first, self.n, self.agree = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-        self.odd: dict[int, str] = {}
+        self.flat, self.first, self.n = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, chunks: list[str], ids: np.ndarray, n: np.ndarray, agree: np.ndarray) -> None:
+    def add(self, chunks: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         self.index.update(zip(chunks, range(len(self.n), len(self.n) + len(chunks)), strict=True))
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(n) - n))
-        self.flat, self.n, self.agree = np.concatenate((self.flat, ids)), np.concatenate((self.n, n)), np.concatenate((self.agree, agree))
+        self.flat, self.n = np.concatenate((self.flat, ids)), np.concatenate((self.n, n))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         got = [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
         # the dummy prefix alone is no token of a text that is empty once normalised
         return [x if self.model.normalise(t) else [] for t, x in zip(texts, got, strict=True)]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.own.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Texts of ids that stand one after another, ``n`` for each text."""
+        data = self.shown[ranges(self.shown_at[ids], self.size[ids])].tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.size[ids])))[np.concatenate(([0], np.cumsum(n)))].tolist()
+        prefix = b" " if self.model.dummy_prefix else b""
+        return [data[a:b].removeprefix(prefix) for a, b in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, texts: list[str]) -> None:
-        """Encode, decode and compare chunks (or whole texts) that haven't been met yet.
+        """Encode chunks that haven't been met yet.
 
-        Chunks go to both libraries many at a time, joined by spaces: a chunk's first piece is the only one that starts
-        with the marker. Where the libraries differ on a joined text, its chunks are looked at one by one.
+        Chunks go to the library many at a time, joined by spaces: a chunk's first piece is the only one that starts
+        with the marker. Where that isn't so, the chunks are encoded one by one.
         """
-        plain = [t for t in texts if t and t[0] != " "] if self.by_chunk else []
-        alone = [t for t in texts if not t or t[0] == " "] if self.by_chunk else texts
+        plain, alone = [t for t in texts if t and t[0] != " "], [t for t in texts if not t or t[0] == " "]
         groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        joined = [" ".join(g) for g in groups]
-        ids = self.encode(joined)
         good, parts, sizes = [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for group, text, a, b, back in zip(groups, joined, ids, self.other.encode(joined, num_threads=self.threads), self.decode(ids), strict=True):
+        for group, a in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
             a = np.array(a, np.int32)
             first = np.flatnonzero(self.starts[a])
-            if len(first) == len(group) and text == back and np.array_equal(a, np.array(b, np.int32)):
+            if len(first) == len(group):
                 good += group
                 parts.append(a)
                 sizes.append(np.diff(np.append(first, len(a))))
             else:
                 alone += group
-        self.add(good, np.concatenate(parts), np.concatenate(sizes), np.ones(len(good), bool))
+        self.add(good, np.concatenate(parts), np.concatenate(sizes))
         if alone:
             ids = self.encode(alone)
-            self.odd.update({len(self.n) + k: back for k, (t, back) in enumerate(zip(alone, self.decode(ids), strict=True)) if t != back})
-            agree = [a == b for a, b in zip(ids, self.other.encode(alone, num_threads=self.threads), strict=True)]
-            self.add(alone, np.array(list(itertools.chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64), np.array(agree, bool))
+            self.add(alone, np.array(list(itertools.chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64))
 
-    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool], np.ndarray]:
-        """All texts' ids one after another and their numbers, and of each text its decoded form, roundtrip and parity."""
-        plain = [t.replace(MARK, " ") for t in texts]  # the model reads a marker in a text as a space
+    def _by_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.bound:
             self.clear()
         # a chunk is a run of spaces and what follows it, without its first space; the dummy prefix is the first chunk's
-        chunks = [([x[1:] for x in _CHUNK.findall(" " + t)] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else []) if self.by_chunk else [t] for t in plain]
-        if self.by_chunk and "" not in self.index:
-            self.add([""], np.array(self.mark, np.int32), np.array([len(self.mark)]), np.array([len(self.mark) == 1]))  # inside a text
+        chunks = [[x[1:] for x in _CHUNK.findall(" " + t)] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
+        if "" not in self.index:
+            self.add([""], np.array(self.mark, np.int32), np.array([len(self.mark)]))  # inside a text
         self._learn(list({c for cs in chunks for c in cs}.difference(self.index)))
         many = np.array(list(map(len, chunks)), np.int64)
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, count=int(many.sum()))
-        owner = np.repeat(np.arange(len(texts)), many)
-        ids = self.flat[ranges(self.first[at], self.n[at])]
-        n = np.bincount(owner, self.n[at], minlength=len(texts)).astype(np.int64)
-        parity = np.bincount(owner, ~self.agree[at], minlength=len(texts)) == 0
-        odd = set(owner[np.isin(at, list(self.odd))].tolist()) if self.odd else ()
-        back = [" ".join([self.odd.get(self.index[c], c) for c in chunks[k]]) if k in odd else t for k, t in enumerate(plain)]
-        return ids, n, back, [b == (t if self.by_chunk else self.model.normalise(t)) for t, b in zip(plain, back, strict=True)], parity
+        n = np.bincount(np.repeat(np.arange(len(texts)), many), self.n[at], minlength=len(texts)).astype(np.int64)
+        return self.flat[ranges(self.first[at], self.n[at])], n
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """All texts' ids one after another and their numbers, and of each text its decoded form, roundtrip and parity."""
+        plain = [t.replace(MARK, " ") for t in texts]  # the model reads a marker in a text as a space
+        want = self.other.encode(texts, num_threads=self.threads)
+        want_n = np.array(list(map(len, want)), np.int64)
+        want_ids = np.fromiter(itertools.chain.from_iterable(want), np.int32, count=int(want_n.sum()))
+        if self.by_chunk:
+            ids, n = self._by_chunks(plain)
+        else:
+            got = self.encode(plain)
+            n = np.array(list(map(len, got)), np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(got), np.int32, count=int(n.sum()))
+        parity = _equal(ids, n, want_ids, want_n)
+        if self.by_chunk and not parity.all():
+            ends, odd = np.cumsum(n), np.flatnonzero(~parity).tolist()
+            each = [ids[e - k : e] for e, k in zip(ends, n, strict=True)]
+            for i, x in zip(odd, self.encode([plain[i] for i in odd]), strict=True):
+                each[i] = np.array(x, np.int32)
+            ids, n = np.concatenate(each), np.array(list(map(len, each)), np.int64)
+            parity = _equal(ids, n, want_ids, want_n)
+        back = self.decode(ids, n)
+        return ids, n, back, np.array([b == self.model.normalise(t).encode() for t, b in zip(plain, back, strict=True)], bool), parity
+
+
+def _equal(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+    """Of each text, whether its ids are the same in both."""
+    same = a_n == b_n
+    a, b = a[np.repeat(same, a_n)], b[np.repeat(same, b_n)]
+    owner = np.repeat(np.flatnonzero(same), a_n[same])
+    same[owner[a != b]] = False
+    return same
 
 
 _CHUNK = re.compile(" +[^ ]*")
@@ -246,9 +285,9 @@ def encode_decode(docs: DataFrame, text: str = "text", model: bytes | None = Non
     """``docs`` with ids, n_tokens, n_byte_tokens, decoded, roundtrip and parity (columns of these names are replaced)."""
     data = load_bytes() if model is None else model
     added = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int32(), "n_byte_tokens": pa.int32(), "decoded": pa.string(), "roundtrip": pa.bool_(), "parity": pa.bool_()}
-    kept = [c for c in docs.columns if c not in added]
-    given = docs.select(*kept, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), "ids array<int>, n_tokens int, n_byte_tokens int, decoded string, roundtrip boolean, parity boolean"])
+    kept, hidden = without(docs.columns, *added), free(docs.columns, "bytes")
+    given = docs.select(*kept, F.col(text).alias(hidden))
+    schema = ", ".join([*(field(f) for f in given.schema if f.name != hidden), "ids array<int>, n_tokens int, n_byte_tokens int, decoded string, roundtrip boolean, parity boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data, threads)
@@ -262,7 +301,7 @@ def encode_decode(docs: DataFrame, text: str = "text", model: bytes | None = Non
                 ends = np.concatenate(([0], np.cumsum(n)))
                 n_bytes = np.diff(np.concatenate(([0], np.cumsum(is_byte[flat])))[ends])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
-                cols = [ids, pa.array(n, pa.int32()), pa.array(n_bytes, pa.int32()), *(pa.array(x, kind, mask=null) for x, kind in ((np.array(back, object), pa.string()), (np.array(same, bool), pa.bool_()), (parity, pa.bool_())))]
+                cols = [ids, pa.array(n, pa.int32()), pa.array(n_bytes, pa.int32()), pa.array([None if z else b.decode(errors="replace") for b, z in zip(back, null, strict=True)], pa.string()), pa.array(same, pa.bool_(), mask=null), pa.array(parity, pa.bool_(), mask=null)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *cols], names=[*kept, *added])
 
     return given.mapInArrow(run, schema)

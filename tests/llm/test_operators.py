@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import struct
 import zipfile
 import zlib
 
@@ -296,6 +297,42 @@ def test_sentencepiece(spark, docs, none, rows):
     assert sentencepiece_tok.encode_decode(none).count() == 0
 
 
+def _field(number, value):
+    """A field of a protobuf message: a varint, a float, or bytes."""
+    def varint(x):
+        return bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("fallback,squeeze,charsmap", [(1, 0, False), (1, 1, False), (0, 1, False), (0, 0, True)])
+def test_unigram_models(spark, fallback, squeeze, charsmap):
+    """Models written by hand: unigram scores, byte fallback or unknown pieces, white space, a character map."""
+    import sentencepiece
+
+    words = ["▁the", "▁thing", "▁other", "th", "er", "ing", "▁", "o", "t", "h", "e", "r", "i", "n", "g", "ab", "a", "b", "▁▁", "A"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(w, -1.0 - 0.37 * k, 1) for k, w in enumerate(words)]
+    pieces += [(f"<0x{b:02X}>", -30.0, 6) for b in range(256)] * fallback
+    table = b""
+    if charsmap:
+        proto = sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto()
+        table = next(v for n, spec in sentencepiece_tok.fields(proto) if n == 3 for k, v in sentencepiece_tok.fields(spec) if k == 2)
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, kind)) for p, s, kind in pieces)
+    data += _field(2, _field(3, 1) + _field(35, fallback)) + _field(3, _field(2, table) + _field(3, 1) + _field(4, squeeze) + _field(5, 1))
+    other = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["the thing", "  other   thing ", "abab the", "", " ", "thing the other A", "a", "ｔｈｅ Ａ" if charsmap else "the A"]
+    texts += ["zé the", "日本 ab"] * fallback
+    got = sentencepiece_tok.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model=data).collect()
+    for r in got:
+        assert r.ids == other.encode(r.text) and r.parity, r
+        assert r.decoded == other.decode(r.ids), r
+        assert charsmap or r.roundtrip, r
+
+
 def test_search(spark, docs, none, rows):
     asked = docs.filter(F.col("doc_id") % 5 == 0)
     got = collections.defaultdict(list)
