@@ -91,9 +91,9 @@ def _(t):
     return names.distinct()
 
 
-@query("k24_lead_list", "SELECT name, title FROM (SELECT c.name, t.job_title AS title, row_number() OVER (PARTITION BY c.name, t.job_title ORDER BY t.sent_date, t.thread_id) AS rn FROM threads t JOIN companies c ON c.id = t.company_id WHERE c.id % 10 = 3) WHERE rn = 1")
+@query("k24_lead_list", "SELECT name, title FROM (SELECT c.name, t.job_title AS title, row_number() OVER (PARTITION BY c.name, t.job_title ORDER BY t.sent_date, t.thread_id) AS rn FROM threads t JOIN companies c ON c.id = t.company_id ) WHERE rn = 1")
 def _(t):
-    c = t.companies.filter("id % 10 = 3").select(F.col("id").alias("company_id"), "name")
+    c = t.companies.select(F.col("id").alias("company_id"), "name")
     return t.threads.join(c, "company_id").groupBy("name", F.col("job_title").alias("title")).agg(F.min_by("thread_id", F.struct("sent_date", "thread_id"))).select("name", "title")
 
 
@@ -199,10 +199,10 @@ def _(t):
     return c.groupBy("subject").agg(F.max_by("company_id", F.struct("n", -F.unix_micros("seen"), -F.col("company_id"))).alias("company_id"))
 
 
-@query("m22_all_noise_companies", "SELECT company_id FROM messages WHERE confidence < 0.02 GROUP BY 1 HAVING bool_and(ml_label IS NOT DISTINCT FROM 'noise' OR coalesce(ml_label = 'other', false))")
+@query("m22_all_noise_companies", "SELECT company_id FROM history GROUP BY 1 HAVING bool_and(ml_label IS NOT DISTINCT FROM 'noise' OR coalesce(ml_label = 'other', false))")
 def _(t):
     noise = F.bool_and(F.col("ml_label").eqNullSafe("noise") | F.coalesce(F.col("ml_label") == "other", F.lit(False)))
-    return t.messages.filter("confidence < 0.02").groupBy("company_id").agg(noise.alias("all_noise")).filter("all_noise").select("company_id")
+    return t.history.groupBy("company_id").agg(noise.alias("all_noise")).filter("all_noise").select("company_id")
 
 
 @query("m23_backfill_dates", "WITH m AS (SELECT company_id, min(CASE WHEN ml_label = 'interview_invite' THEN CAST(ts AS DATE) END) AS i, max(CASE WHEN ml_label = 'rejection' THEN CAST(ts AS DATE) END) AS r FROM messages GROUP BY 1) SELECT thread_id, coalesce(interview_date, i) AS interview_date, coalesce(rejection_date, r) AS rejection_date FROM threads LEFT JOIN m USING (company_id)")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import written
 from ..registry import query
 
 
@@ -22,6 +23,19 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int) -
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def placed(rows: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
+    """``keep`` and each row's ``place`` (from 1) in the order of all rows, without a window over all of them.
+
+    The sorted rows are written once, each with its place inside its range partition; the partitions' sizes, one number each, give
+    the offsets.
+    """
+    inside = F.monotonically_increasing_id()
+    rows = written(rows.orderBy(*order).select(*keep, F.shiftright(inside, 33).alias("part"), inside.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "placed")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(before, "part").select(*keep, (F.col("before") + F.col("at") + 1).alias("place"))
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -81,16 +95,14 @@ def _(t):
     return rows.orderBy(F.asc_nulls_first("interview_date"), F.asc_nulls_first("prescreen_date"), "thread_id").limit(10).select("thread_id", "interview_date", "prescreen_date")
 
 
-@query("w09_multi_key_sort", "SELECT id, CAST(row_number() OVER (ORDER BY ml_label DESC NULLS LAST, confidence ASC NULLS FIRST, id) AS INT) AS place FROM messages ORDER BY place LIMIT 200")
+@query("w09_multi_key_sort", "SELECT id, row_number() OVER (ORDER BY ml_label DESC NULLS LAST, confidence ASC NULLS FIRST, id) AS place FROM messages")
 def _(t):
-    order = [F.desc_nulls_last("ml_label"), F.asc_nulls_first("confidence"), F.asc("id")]
-    first = t.messages.orderBy(*order).limit(200)  # sorted and cut in parallel; the window then sees 200 rows
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "place")
+    return placed(t.messages, [F.desc_nulls_last("ml_label"), F.asc_nulls_first("confidence"), F.asc("id")], ["id"])
 
 
-@query("w10_case_insensitive_sort", "SELECT id, name FROM companies ORDER BY lower(name), id LIMIT 25")
+@query("w10_case_insensitive_sort", "SELECT id, name, row_number() OVER (ORDER BY lower(name), id) AS place FROM companies")
 def _(t):
-    return t.companies.orderBy(F.lower("name"), "id").limit(25).select("id", "name")
+    return placed(t.companies, [F.lower("name"), F.asc("id")], ["id", "name"])
 
 
 @query("w11_page", "SELECT id FROM messages ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 100")
@@ -127,6 +139,6 @@ def _(t):
     return used.join(kinds, "domain", "left").orderBy(F.coalesce("kind", F.lit("zzz")), "domain").select("domain", "n", "kind")
 
 
-@query("w16_recency_nulls_last", "SELECT id, last_job_search_date FROM companies ORDER BY last_job_search_date DESC NULLS LAST, id LIMIT 30")
+@query("w16_recency_nulls_last", "SELECT id, last_job_search_date, row_number() OVER (ORDER BY last_job_search_date DESC NULLS LAST, id) AS place FROM companies")
 def _(t):
-    return t.companies.orderBy(F.desc_nulls_last("last_job_search_date"), "id").limit(30).select("id", "last_job_search_date")
+    return placed(t.companies, [F.desc_nulls_last("last_job_search_date"), F.asc("id")], ["id", "last_job_search_date"])

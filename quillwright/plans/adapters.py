@@ -41,6 +41,14 @@ SQL = {
                 CAST(min(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS DATE) AS interview_date,
                 CAST(min(CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS DATE) AS prescreen_date
             FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""",
+    # the same threads, most of them without a rejection
+    "open_threads": """
+        SELECT thread_id, company_id, sent_date, status, CASE WHEN company_id % 4 = 0 THEN rejection_date END AS rejection_date, interview_date, prescreen_date, ml_label FROM {threads}""",
+    # the same messages in the time of the orders; some companies are never rejected, and some have noise alone
+    "history": """
+        SELECT id, company_id, CAST(ts AS DATE) - CAST(8190 + company_id % 200 AS INT) AS day,
+            CASE WHEN company_id % 5 = 0 THEN CASE WHEN ml_label IS NULL THEN 'other' ELSE 'noise' END WHEN company_id % 3 = 0 AND ml_label = 'rejection' THEN 'other' ELSE ml_label END AS ml_label
+        FROM {messages}""",
     # dimensions: (domain, kind, company, ord); first in order wins
     "domains": """
         SELECT * FROM (VALUES ('d3.example.com', 'headhunter', CAST(NULL AS STRING), 1), ('d7.example.com', 'headhunter', NULL, 2), ('example.net', 'ats', NULL, 3), ('example.org', 'job_board', NULL, 4),

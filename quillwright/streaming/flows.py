@@ -1,8 +1,11 @@
-"""Structured Streaming forms (T01-T07). Each takes and gives a streaming DataFrame; ``run_available`` drives a bounded run."""
+"""Structured Streaming forms (T01-T07). Each takes and gives a streaming DataFrame; ``run_available`` drives a bounded run.
+
+State is bounded by event time: what a key remembers goes when the watermark has passed its last row by ``idle``.
+"""
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rollup import EMPTY_STATE, propagate
 from ..plans.adapters import SQL
+from ..plans.lineage import new_path
 from ..registry import query
 
 
@@ -23,12 +27,28 @@ def message_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4)
     return spark.sql(SQL["messages"], events=events)
 
 
-def run_available(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, to an in-memory table, and return that table: for tests and bounded results."""
-    name = f"flow_{uuid.uuid4().hex}"
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rows.sparkSession.table(name)
+def run_available(rows: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Process what is there and return the result as a table of the shared folder, where the query's checkpoint is too.
+
+    Append mode writes to Spark's file sink. In complete and update mode each batch is a folder named after the batch, so a repeated
+    batch replaces itself; the result is the last batch, or in update mode each key's last row.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, "flow")
+    writer = rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    writer.foreachBatch(put).start().awaitTermination()
+    found = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "complete":
+        return found.join(found.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    values = [c for c in rows.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
 
 
 def once_each(rows: DataFrame, key: str = "msg_id", ts: str = "ts", late: str = "30 days") -> DataFrame:
@@ -47,12 +67,9 @@ def activity_sessions(rows: DataFrame, keys: list[str], gap: str = "3 days", lat
     return rows.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def near_dedup_stream(rows: DataFrame, keys: list[str], seconds: int = 5, idle: str | None = None) -> DataFrame:
-    """D03 over a stream: the state of a key is its last kept instant; it is dropped after ``idle``, if given.
-
-    A run that is to end by itself (``run_available``) cannot have a timeout: Spark goes on with empty batches for it.
-    """
-    window, idle_ms = seconds * 1_000_000, int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+def near_dedup_stream(rows: DataFrame, keys: list[str], seconds: int = 5, idle: str = "30 days", late: str = "30 days") -> DataFrame:
+    """D03 over a stream: the state of a key is its last kept instant."""
+    window, idle_ms = seconds * 1_000_000, int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,28 +82,41 @@ def near_dedup_stream(rows: DataFrame, keys: list[str], seconds: int = 5, idle:
             if last is None or us - last > window:
                 kept[i], last = True, us
         state.update((int(last),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(part["us"].iloc[-1]) // 1000 + idle_ms)
         yield pd.DataFrame({"id": part["id"], "kept": kept})
 
-    given = rows.select(*keys, "id", F.unix_micros("ts").alias("us"))
-    return given.groupBy(*keys).applyInPandasWithState(step, "id bigint, kept boolean", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    given = rows.withWatermark("ts", late).select(*keys, "id", "ts", F.unix_micros("ts").alias("us"))
+    return given.groupBy(*keys).applyInPandasWithState(step, "id bigint, kept boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def thread_states(rows: DataFrame) -> DataFrame:
+def thread_states(rows: DataFrame, idle: str = "90 days", late: str = "30 days") -> DataFrame:
     """R01 over a stream: each batch gives the new state of the threads that it touches."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         names = list(EMPTY_STATE)
         now = dict(zip(names, state.get, strict=True)) if state.exists else dict(EMPTY_STATE)
-        for r in pd.concat(list(parts)).sort_values(["ts", "id"], kind="stable").itertuples():
-            now = propagate(now, r.ml_label, r.confidence, r.ts.date())
+        part = pd.concat(list(parts)).sort_values(["ts", "id"], kind="stable")
+        for label, confidence, ts in zip(part["ml_label"], part["confidence"], part["ts"], strict=True):
+            now = propagate(now, label, None if pd.isna(confidence) else confidence, ts.date())
         state.update(tuple(now[n] for n in names))
+        state.setTimeoutTimestamp(int(part["ts"].iloc[-1].timestamp() * 1000) + idle_ms)
         yield pd.DataFrame([{"thread_id": key[0], **now}])
 
     fields = "ml_label string, ml_confidence double, prescreen_date date, interview_date date"
-    labelled = rows.filter("ml_label IS NOT NULL").select("thread_id", "id", "ts", "ml_label", "confidence")
-    return labelled.groupBy("thread_id").applyInPandasWithState(step, f"thread_id string, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
+    labelled = rows.withWatermark("ts", late).filter("ml_label IS NOT NULL").select("thread_id", "id", "ts", "ml_label", "confidence")
+    return labelled.groupBy("thread_id").applyInPandasWithState(step, f"thread_id string, {fields}", fields, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def closing(spark: SparkSession, like: DataFrame, ts: str = "ts", at: dt.datetime = dt.datetime(2100, 1, 1)) -> DataFrame:
+    """A stream of one row of nulls at a late instant: joined to a bounded stream by ``union`` it closes all that waits for the watermark."""
+    path = new_path(spark, "closing")
+    spark.createDataFrame([(at,)], "at timestamp").write.parquet(path)
+    row = spark.readStream.schema("at timestamp").parquet(path)
+    return row.select(*(F.col("at").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 @query("t01_stream_once_each", "SELECT msg_id FROM messages")
@@ -112,12 +142,11 @@ def _(t):
 
 @query("t05_stream_sessions", "WITH o AS (SELECT company_id, ts, ts - lag(ts) OVER (PARTITION BY company_id ORDER BY ts) > INTERVAL 12 HOUR AS new FROM messages), s AS (SELECT company_id, ts, count(*) FILTER (new) OVER (PARTITION BY company_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT company_id, count(*) AS n FROM s GROUP BY company_id, k")
 def _(t):
-    # a batch run of the same aggregate: append mode would hold the last sessions back until later rows arrive
-    rows = t.messages
-    return activity_sessions(rows, ["company_id"], "12 hours").select("company_id", "n")
+    rows = message_stream(t.spark, t.folder).select("company_id", "ts")
+    done = run_available(activity_sessions(rows.union(closing(t.spark, rows)), ["company_id"], "12 hours").select("company_id", "n"))
+    return done.filter("company_id IS NOT NULL")
 
 
 @query("t06_stream_thread_state", "SELECT thread_id, max_by(ml_label, (ts, id)) AS ml_label, min(CASE WHEN ml_label = 'interview_invite' THEN CAST(ts AS DATE) END) AS interview_date FROM messages WHERE ml_label IS NOT NULL GROUP BY 1")
 def _(t):
-    # one file is one batch here, so that a thread's first update is its last
-    return run_available(thread_states(message_stream(t.spark, t.folder)), "update").select("thread_id", "ml_label", "interview_date")
+    return run_available(thread_states(message_stream(t.spark, t.folder)), "update", ["thread_id"]).select("thread_id", "ml_label", "interview_date")

@@ -175,8 +175,35 @@ def test_ghost_threshold_order(monkeypatch):
     assert [rollup.days_until_ghosted(10, 20), rollup.days_until_ghosted(None, 20), rollup.days_until_ghosted(), rollup.days_until_ghosted(0)] == [10, 20, 45, 1]
 
 
-@pytest.mark.parametrize("label,first,second", [("prescreen", "prescreen_date", "interview_date"), ("interview_invite", "interview_date", "prescreen_date")])
-def test_propagation_clears_the_other_date_of_the_same_day(label, first, second):
+@pytest.mark.parametrize("label,first,old,second", [("prescreen", "prescreen_date", "interview_invite", "interview_date"), ("interview_invite", "interview_date", "prescreen", "prescreen_date")])
+def test_propagation_clears_the_other_date_of_the_same_day(label, first, old, second):
     day = dt.date(2024, 1, 1)
-    state = rollup.propagate({**rollup.EMPTY_STATE, second: day}, label, 0.9, day)
+    state = rollup.propagate({**rollup.EMPTY_STATE, "ml_label": old, second: day}, label, 0.9, day)
     assert state[first] == day and state[second] is None
+    kept = rollup.propagate({**rollup.EMPTY_STATE, "ml_label": "other", second: day}, label, None, day)
+    assert kept[first] == day and kept[second] == day and kept["ml_confidence"] is None
+
+
+def test_propagation_attaches_and_creates(spark):
+    at = lambda d: dt.datetime(2024, 1, d, 12)
+    rows = [
+        (1, "t1", 1, at(2), "prescreen", 0.8),  # its own thread's row
+        (2, "x1", 1, at(3), "interview_invite", 0.7),  # no row: joins the company's earliest, t0
+        (3, "x2", 1, at(4), "job_application", 0.6),  # creates x2
+        (4, "x2", 1, at(5), "rejection", None),  # updates x2, confidence kept
+        (5, "x3", 2, at(5), "prescreen", 0.5),  # a company without a row: creates x3
+        (6, "x4", 2, at(6), "interview_invite", 0.4),  # joins x3
+        (7, "x5", 2, at(7), "noise", 0.9),  # nothing
+        (8, "x6", None, at(7), "job_application", 0.9),  # no company: nothing
+        (9, "t1", 1, at(2), "interview_invite", 0.9),  # the same day as the prescreen: clears its date
+    ]
+    messages = spark.createDataFrame(rows, "id bigint, thread_id string, company_id bigint, ts timestamp, ml_label string, confidence double")
+    day = dt.date(2023, 12, 1)
+    threads = spark.createDataFrame([("t0", 1, day, "job_application", None, None), ("t1", 1, dt.date(2023, 12, 2), "job_application", None, None)], "thread_id string, company_id bigint, sent_date date, ml_label string, prescreen_date date, interview_date date")
+    got = {r.thread_id: (r.created, r.ml_label, r.ml_confidence, r.prescreen_date and r.prescreen_date.day, r.interview_date and r.interview_date.day) for r in rollup.propagate_labels(messages, threads).collect()}
+    assert got == {
+        "t1": (False, "interview_invite", 0.9, None, 2),
+        "t0": (False, "job_application", None, None, 3),
+        "x2": (True, "rejection", 0.6, None, None),
+        "x3": (True, "prescreen", 0.5, 5, 6),
+    }
