@@ -138,6 +138,58 @@ def first_lines(body: str | Column, lines: int = 30) -> Column:
     return F.array_join(F.slice(F.split(_c(body), "\n"), 1, lines), "\n")
 
 
+# fixed values: operators of a mail query, characters that a pattern escapes, fragments and limits of unsafe input
+QUERY_OPERATORS = ("label", "from", "to", "subject", "in", "is", "has", "before", "after")
+SPECIAL = r"[\s#$&()*+\-.?\[\\\]^{|}~]"
+UNSAFE = ("<script", "javascript:", "onerror=", "onload=", "<?php", "<%", "__import__", "eval(", "exec(", "../", "..\\", "%2e%2e", "\x00")
+UNSAFE_PATTERNS = (r"\(\?#", r"\(\?=.*\)\+", r"\(\?!.*\)\+", r"(\(.*\)\+){3,}")
+PATTERN_LENGTH, PATTERN_QUANTIFIERS = 500, 20
+
+
+def query_terms(text: str | Column) -> Column:
+    """terms of a mail query: words of three characters or more, then quoted phrases, once each whatever the case, escaped for a pattern."""
+    bare = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "(?i)(" + "|".join(QUERY_OPERATORS) + "):", " ")
+    words = F.split(F.regexp_replace(bare, '"[^"]+"', " "), r"[^A-Za-z0-9@._'+-]+")
+    every = F.filter(F.concat(words, F.regexp_extract_all(bare, F.lit('"([^"]+)"'), F.lit(1))), lambda t: F.length(t) >= 3)
+    low = F.transform(every, F.lower)
+    first = F.filter(every, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    return F.transform(first, lambda t: F.regexp_replace(t, f"({SPECIAL})", r"\\$1"))
+
+
+def any_term(terms: Column) -> Column:
+    """one pattern for all terms; null for none."""
+    return F.when(F.size(terms) > 0, F.concat(F.lit("("), F.array_join(terms, "|"), F.lit(")")))
+
+
+def safe_pattern(pattern: str | Column) -> Column:
+    """not blank, not too long or intricate, none of the unsafe constructs. (Whether it compiles is left to the rule's compiler.)"""
+    p = _c(pattern)
+    bad = p.rlike("|".join(f"(?:{x})" for x in UNSAFE_PATTERNS)) | (F.length(p) > PATTERN_LENGTH) | (F.regexp_count(p, F.lit(r"[*+?{]")) > PATTERN_QUANTIFIERS)
+    return F.coalesce((p != "") & ~bad, F.lit(False))
+
+
+def sanitised_input(value: str | Column, longest: int = 200, pattern: bool = False) -> Column:
+    """trimmed input, with HTML characters escaped (a pattern stays as it is); null if blank, too long or unsafe."""
+    v = F.regexp_replace(_c(value), r"^\s+|\s+$", "")
+    low = F.lower(v)
+    bad = F.exists(F.array(*(F.lit(x) for x in UNSAFE)), lambda x: low.contains(x))
+    ok = (v != "") & (F.length(v) <= longest) & ~bad & (safe_pattern(v) if pattern else F.lit(True))
+    shown = v
+    for raw, escaped in (() if pattern else (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))):
+        shown = F.replace(shown, F.lit(raw), F.lit(escaped))
+    return F.when(ok, shown)
+
+
+def split_part(value: str | Column, separator: str, at: int) -> Column:
+    """one part of a separated value (from 0); null beyond the last."""
+    return F.get(F.split(_c(value), F.lit(separator).cast("string")) if separator.isalnum() else F.split(_c(value), "[" + separator + "]"), F.lit(at))
+
+
+def percentage(share: str | Column, digits: int = 1) -> Column:
+    """a share of 1 as a percentage; null and 0 give 0."""
+    return F.round(F.coalesce(_c(share).cast("double"), F.lit(0.0)) * 100, digits)
+
+
 def without_headers(body: str | Column) -> Column:
     """without a block of mail headers at the very start."""
     return F.regexp_replace(_c(body), r"(?i)^(?:(?:from|to|cc|subject|date|sent|reply-to):[^\n]*\n)+\n*", "")

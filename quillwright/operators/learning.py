@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, mail
 from ..registry import query
-from ..sources.readers import PastedSpec, page_texts
+from ..sources.readers import PastedSpec, assign_threads, decoding_summary, page_texts
 
 
 def prepared(rows: DataFrame, label: str = "ml_label", rare: int = 10, least: int = 2) -> DataFrame:
@@ -84,12 +84,60 @@ def _(t):
     return t.messages.select("id", mail.decoded(F.concat(head, "body")).alias("m")).select("id", "m.subject", "m.body")
 
 
-@query("s04_f32_api_messages", "SELECT id, subject, body FROM messages")
+@query("s04_f32_api_messages", "SELECT id, subject, body, id % 4 <> 0 AS has_html FROM messages")
 def _(t):
-    data = F.translate(F.base64(F.col("body").cast("binary")), "+/", "-_")
-    raw = F.to_json(F.struct(F.col("msg_id").alias("id"), F.struct(F.array(F.struct(F.lit("Subject").alias("name"), F.col("subject").alias("value"))).alias("headers"), F.struct(data.alias("data")).alias("body")).alias("payload")))
-    m = t.messages.select("id", mail.api_metadata(raw).alias("m"))
-    return m.select("id", mail.header(F.col("m"), "subject").alias("subject"), mail.part_text(F.col("m")).alias("body"))
+    # one part; alternatives; alternatives beside an attachment; alternatives inside related parts beside an attachment
+    code = lambda c: F.translate(F.base64(c.cast("binary")), "+/\r\n", "-_")
+    part = lambda kind, c: F.concat(F.lit(f'{{"mimeType":"{kind}","body":{{"data":"'), code(c), F.lit('"}}'))
+    multi = lambda kind, *parts: F.concat(F.lit(f'{{"mimeType":"multipart/{kind}","parts":['), F.concat_ws(",", *parts), F.lit("]}"))
+    file = F.lit('{"mimeType":"text/html","filename":"a.html","body":{"data":"PGI-bm88L2I-"}}')
+    page = F.concat(F.lit("<html><style>p {}</style><p>"), "body", F.lit("</p></html>"))
+    both = multi("alternative", part("text/plain", F.lit("plain")), part("text/html", page))
+    kinds = [part("text/plain", F.col("body")), both, multi("mixed", file, both), multi("mixed", multi("related", both), file)]
+    payload = F.get(F.array(*kinds), (F.col("id") % 4).cast("int"))
+    raw = F.concat(F.lit('{"id":"'), "msg_id", F.lit('","payload":{"headers":[{"name":"Subject","value":"'), "subject", F.lit('"}],'), F.substr(payload, F.lit(2)), F.lit("}"))
+    m = t.messages.select("id", raw.alias("raw")).select("id", mail.api_metadata("raw").alias("m"), mail.api_body("raw").alias("b"))
+    return m.select("id", mail.header(F.col("m"), "subject").alias("subject"), "b.body", F.col("b.body_html").isNotNull().alias("has_html"))
+
+
+def _raw_mails(t) -> DataFrame:  # noqa: ANN001
+    """Raw mails of the messages: headers in two charsets, plain and HTML parts, a calendar, and an id of its own on every third."""
+    subject = F.when(F.col("id") % 2 == 0, F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat("subject", F.lit(" é")), "utf-8")), F.lit("?="))).otherwise(F.concat(F.lit("=?iso-8859-1?Q?"), F.replace("subject", F.lit(" "), F.lit("_")), F.lit("_=E9?=")))
+    own = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Message-ID: <"), "msg_id", F.lit("@x.example>\n"))).otherwise(F.lit(""))
+    head = F.concat(F.lit("From: "), "sender", F.lit("\nSubject: "), subject, F.lit("\nDate: Mon, 01 Jan 2024 10:00:00 +0000\n"), own, F.lit('MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n'))
+    plain = F.concat(F.lit("--b\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(F.concat("body", F.lit(" ü")), "utf-8")), F.lit("\n"))
+    page = F.concat(F.lit("--b\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n<p>page=20of </p><b>"), "msg_id", F.lit(" =C3=BC</b>\n"))
+    invite = F.concat(F.lit("--b\nContent-Type: text/calendar\n\nBEGIN:VEVENT\nORGANIZER;CN=X:mailto:Boss"), F.col("company_id").cast("string"), F.lit("@D2.example.com\nEND:VEVENT\n"))
+    return t.messages.select("id", F.concat(head, F.when(F.col("id") % 4 < 3, plain).otherwise(F.lit("")), page, F.when(F.col("id") % 5 == 0, invite).otherwise(F.lit("")), F.lit("--b--\n")).alias("raw"))
+
+
+@query("s05_f34_f35_nested_mail", "SELECT id, subject || ' é' AS subject, CASE WHEN id % 4 < 3 THEN body || ' ü' ELSE 'page of ' || msg_id || ' ü' END AS body, CASE WHEN id % 5 = 0 THEN 'boss' || company_id || '@d2.example.com' END AS organizer FROM messages")
+def _(t):
+    m = _raw_mails(t).select("id", mail.decoded("raw").alias("m"))
+    return m.select("id", "m.subject", F.trim("m.body").alias("body"), "m.organizer")
+
+
+@query("s06_f48_html_first_mail", "SELECT id, md5(subject || ' é' || 'Mon, 01 Jan 2024 10:00:00 +0000' || sender) AS msg_id, 'page of ' || msg_id || ' ü' AS body FROM messages")
+def _(t):
+    return _raw_mails(t).select("id", mail.decoded_html_first("raw").alias("m")).select("id", "m.msg_id", "m.body")
+
+
+@query("s07_mail_with_id", "SELECT id, CASE WHEN id % 3 = 0 THEN msg_id || '@x.example' END AS msg_id, CASE WHEN id % 3 <> 0 THEN 'no message id' END AS error FROM messages")
+def _(t):
+    m = _raw_mails(t).select("id", mail.decoded_with_id("raw").alias("m"))
+    return m.select("id", F.when(F.col("m.error").isNull(), F.col("m.msg_id")).alias("msg_id"), "m.error")
+
+
+@query("s07_thread_assignment", "WITH k AS (SELECT subject, company_id, max_by(thread_id, (ts, id)) AS thread_id FROM messages WHERE id % 5 <> 0 GROUP BY 1, 2) SELECT m.msg_id, coalesce(k.thread_id, m.msg_id) AS thread_id FROM messages m LEFT JOIN k USING (subject, company_id) WHERE m.id % 5 = 0")
+def _(t):
+    # every fifth message is new mail, the others are known
+    new = t.messages.filter("id % 5 = 0").select("msg_id", "subject", "company_id")
+    return assign_threads(new, t.messages.filter("id % 5 <> 0")).select("msg_id", "thread_id")
+
+
+@query("s08_s21_decoding_summary", "SELECT CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'no message id' END AS outcome, count(*) AS n, count(*) FILTER (id % 5 = 0) AS invitations, 0 AS newsletters FROM messages GROUP BY 1")
+def _(t):
+    return decoding_summary(_raw_mails(t).select(mail.decoded_with_id("raw").alias("m")).select("m.*"))
 
 
 @query("f42_mail_dates", "SELECT id, date_trunc('second', ts) AS ts FROM messages")

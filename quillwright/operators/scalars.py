@@ -157,3 +157,28 @@ def _(t):
 @query("f51_keyword_ignore", "SELECT id FROM messages WHERE contains(lower(body), 'purchase') OR contains(lower(body), 'number 3')")
 def _(t):
     return t.messages.filter(text.mentions_any("body", ["PURCHASE", "number 3"])).select("id")
+
+
+@query("f23_template_filters", "SELECT id, split_part(msg_id, 'e', 2) AS part, round(coalesce(confidence, 0) * 100, 1) AS percent, map {'rule': 'by rule', 'ml': 'by model'}[classification_source] AS shown FROM messages")
+def _(t):
+    names = F.create_map(*(F.lit(x) for x in ("rule", "by rule", "ml", "by model")))
+    return t.messages.select("id", text.split_part("msg_id", "e", 1).alias("part"), text.percentage("confidence").alias("percent"), names[F.col("classification_source")].alias("shown"))
+
+
+_TERMS = r"""WITH q AS (SELECT id, 'From:(' || sender || ') "' || body || '" is:new "' || upper(body) || '" ' || subject AS q FROM messages), b AS (SELECT id, regexp_replace(q, '(label|from|to|subject|in|is|has|before|after):', ' ', 'gi') AS b FROM q),
+e AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(b, '"[^"]+"', ' ', 'g'), '[^A-Za-z0-9@._''+-]+') || regexp_extract_all(b, '"([^"]+)"', 1), lambda t: length(t) >= 3) AS e FROM b),
+d AS (SELECT id, list_filter(e, lambda t, i: list_position(list_transform(e, lambda x: lower(x)), lower(t)) = i) AS d FROM e)
+SELECT id, '(' || array_to_string(list_transform(d, lambda t: regexp_replace(t, '([\s#$&()*+\-.?\[\\\]^{|}~])', '\\\1', 'g')), '|') || ')' AS pattern FROM d"""
+
+
+@query("f25_query_terms", _TERMS)
+def _(t):
+    q = F.concat(F.lit("From:("), "sender", F.lit(') "'), "body", F.lit('" is:new "'), F.upper("body"), F.lit('" '), "subject")
+    return t.messages.select("id", text.any_term(text.query_terms(q)).alias("pattern"))
+
+
+@query("f28_sanitised_input", """SELECT id, CASE WHEN id % 4 = 0 OR length(trim(sender || ' & "' || subject || '"')) > 75 THEN NULL ELSE replace(replace(replace(replace(sender || ' & "' || subject || '"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') END AS shown, id % 4 <> 0 AS safe FROM messages""")
+def _(t):
+    odd = F.when(F.col("id") % 4 == 0, F.lit("(?#x) <Script> ")).otherwise(F.lit(""))
+    value = F.concat(F.lit("  "), odd, "sender", F.lit(' & "'), "subject", F.lit('" '))
+    return t.messages.select("id", text.sanitised_input(value, 75).alias("shown"), text.safe_pattern(F.concat(odd, "body")).alias("safe"))

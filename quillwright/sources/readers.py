@@ -29,6 +29,20 @@ def raw_mail(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", mail.decoded(F.col("content").cast("string")).alias("m")).select("path", "m.*")
 
 
+def decoding_summary(mails: DataFrame) -> DataFrame:
+    """How many messages of a folder could be decoded, by error; ``toJSON`` of it or of the messages is the dry run's output."""
+    return mails.groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"), F.count("organizer").alias("invitations"), F.count_if("header_hints.newsletter").alias("newsletters"))
+
+
+def assign_threads(mails: DataFrame, known: DataFrame) -> DataFrame:
+    """``thread_id`` of new mails: that of the latest known message with the same subject and company, or else their own id.
+
+    ``mails``: msg_id, subject, company_id; ``known``: subject, company_id, thread_id, ts, id. The latest is an aggregate with map-side combine.
+    """
+    last = known.filter("subject IS NOT NULL AND company_id IS NOT NULL").groupBy("subject", "company_id").agg(F.max_by("thread_id", F.struct("ts", "id")).alias("thread_id"))
+    return mails.drop("thread_id").join(last, ["subject", "company_id"], "left").withColumn("thread_id", F.coalesce("thread_id", "msg_id"))
+
+
 def unprocessed(rows: DataFrame, ledger: DataFrame, key: str = "msg_id", force: bool = False) -> DataFrame:
     """Rows that the ledger lacks; all of them if forced."""
     return rows if force else rows.join(ledger.select(key), key, "left_anti")
@@ -36,9 +50,9 @@ def unprocessed(rows: DataFrame, ledger: DataFrame, key: str = "msg_id", force:
 
 def api_messages(spark: SparkSession, path: str) -> DataFrame:
     """API messages, one JSON object a line."""
-    m = spark.read.text(path).select(mail.api_metadata("value").alias("m")).filter("m.id IS NOT NULL")
+    m = spark.read.text(path).select(mail.api_metadata("value").alias("m"), mail.api_body("value").alias("b")).filter("m.id IS NOT NULL")
     c = F.col("m")
-    return m.select(c["id"].alias("msg_id"), c["threadId"].alias("thread_id"), mail.header(c, "Subject").alias("subject"), mail.header(c, "From").alias("sender"), F.timestamp_millis(c["internalDate"].cast("bigint")).alias("ts"), mail.part_text(c).alias("body"), c["labelIds"].alias("labels"))
+    return m.select(c["id"].alias("msg_id"), c["threadId"].alias("thread_id"), mail.header(c, "Subject").alias("subject"), mail.header(c, "From").alias("sender"), F.timestamp_millis(c["internalDate"].cast("bigint")).alias("ts"), F.col("b.body").alias("body"), F.col("b.body_html").alias("body_html"), c["labelIds"].alias("labels"))
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
