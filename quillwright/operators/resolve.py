@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import address, display_name, domain_suffixes, email_domain, first_match, matching_key, normal_name, person_like
+from ..functions.text import SUBJECT_PATTERNS, address, display_name, domain_suffixes, email_domain, first_match, matching_key, normal_name, person_like, valid_name
 from ..registry import query
 
 
@@ -52,24 +52,71 @@ def tiers(**candidates: Column) -> tuple[Column, Column]:
     return value, source
 
 
-def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The cascade: head-hunter, domain map, subject, body, sender name; noise is not resolved; aliases last."""
-    rows = messages.withColumn("sender_domain", email_domain("sender"))
+# fixed values: two mail domains whose mails name the employer in the body, the pattern and the provenance of each
+BODY_DOMAINS = {
+    "usastaffing.gov": ("usastaffing_body_extraction", r"(?i)at the\s+([A-Z][A-Za-z0-9\s&.,'-]+?),\s+in the Department of"),
+    "indeed.com": ("indeed_body_extraction", r"(?i)(?:the following items were sent to|about your application.*?with)\s+([A-Z][A-Za-z0-9\s&.,'-]+?)(?:\s+(?:and|About|Your application|Resume|Cover letter)|\s*$)"),
+}
+# fixed values: what stands before an employer's name in a body
+AT_SYMBOL = r"(?i)(?:position|role|opportunity)\s+@\s*([A-Za-z][\w\s&\-]+?)(?=\W|$)"
+BODY_PHRASES = r"(?i)(?:apply(?:ing)? to|application to|interest in|position at|role at|opportunity with)\s+([A-Z][\w\s&\-]+)"
+UNNAMED = ("job_application", "noise")
+
+
+def plain_body(body: str | Column) -> Column:
+    """A body without style, script and tags, if it is a page."""
+    c = F.col(body) if isinstance(body, str) else body
+    text = F.regexp_replace(F.regexp_replace(c, r"(?is)<(style|script)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    return F.when(F.lower(c).rlike("<html|<style"), F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(c)
+
+
+def _name(c: Column, valid: bool = True) -> Column:
+    """A found name, normalised; null if it is blank or no valid name."""
+    return F.when(valid_name(c) if valid else F.lit(True), F.nullif(normal_name(c), F.lit("")))
+
+
+def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str | None = None) -> DataFrame:
+    """The cascade E01-E13: ``messages`` with ``resolved`` and ``provenance``.
+
+    In order: the recipient's domain of a mail that ``me`` sent (E01; no other tier serves such a mail), head-hunter domain (none, E02), domain
+    map (E03), the organisation or employer in bodies of two domains (E04, E05), a valid name in the subject (E06), a model's valid prediction
+    that the mail holds (E07), "position @ X" (E08), "applying to X" (E09), a known name in the sender's display name (E10), the
+    Organization header unless it is a person (E11), none (E12). Noise is not resolved. A name that a dictionary knows gets its spelling (E13).
+    Columns recipient, organization and predicted may be missing. Dictionaries are broadcast; ``domains`` and ``aliases`` are configuration.
+    """
+    given = messages
+    for c in ("recipient", "organization", "predicted"):
+        if c not in messages.columns:
+            given = given.withColumn(c, F.lit(None).cast("string"))
+    sent = F.coalesce(F.lower(address("sender")).startswith(me.lower()), F.lit(False)) if me else F.lit(False)
+    rows = given.withColumn("__sent", sent).withColumn("sender_domain", F.when(F.col("__sent"), email_domain("recipient")).otherwise(email_domain("sender")))
     rows = suffix_join(rows, "sender_domain", domains)
-    subject = first_match("subject", (r"\bat ([A-Z][\w&. -]*?)\s*$",))
-    body = first_match("body", (r"position @ ([A-Z]\w+)", r"applying to ([A-Z]\w+)"))
-    person = display_name("sender")
-    value, source = tiers(
-        headhunter_domain=F.when(F.col("kind") == "headhunter", ""),
-        domain_mapping=F.when(F.col("kind") == "company", F.col("company")),
-        subject_parse=subject,
-        body_regex=body,
-        sender_name_match=F.when(~person_like(person), F.nullif(person, F.lit(""))),
-    )
+    # configuration: one array of known names in the dictionary's order, longest match not needed
+    rows = rows.withColumn("__known", domains.filter("company IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("ord", "company")))).scalar())
+    shown, text = F.lower(display_name("sender")), plain_body("body")
+    mapped = F.when(F.col("kind") == "company", F.col("company"))
+    others = ~F.col("__sent")
+    head = F.coalesce(F.col("kind") == "headhunter", F.lit(False))
+    predicted = _name(F.col("predicted"))
+    held = F.contains(F.lower("subject"), F.lower("predicted")) | F.contains(F.lower(text), F.lower("predicted"))
+    tier = {
+        "user_sent_to_company": F.when(F.col("__sent"), F.coalesce(mapped, F.lit(""))),
+        "headhunter_domain": F.when(head, F.lit("")),
+        "domain_mapping": mapped,
+        **{source: F.when(F.col("sender_domain") == domain, _name(first_match(text, (pattern,)))) for domain, (source, pattern) in BODY_DOMAINS.items()},
+        "subject_parse": _name(first_match("subject", SUBJECT_PATTERNS)),
+        "ml_prediction": F.when(~F.lower("predicted").isin(*UNNAMED) & held, predicted),
+        "body_at_symbol": F.initcap(first_match(text, (AT_SYMBOL,))),
+        "body_regex": first_match(F.col("body"), (BODY_PHRASES,)),
+        "sender_name_match": F.when(shown != "", F.get(F.filter("__known", lambda k: shown.contains(F.lower(k["company"]))), F.lit(0))["company"]),
+        "organization_header": F.when(~person_like("organization"), F.nullif(F.trim("organization"), F.lit(""))),
+    }
+    value, source = tiers(**{k: c if k == "user_sent_to_company" else F.when(others, c) for k, c in tier.items()})
     skip = F.coalesce(F.col("ml_label").isin("noise", "head_hunter"), F.lit(False))
     out = rows.select(*messages.columns, F.when(~skip, F.nullif(value, F.lit(""))).alias("resolved"), F.when(skip, "skipped").otherwise(source).alias("provenance"))
-    known = aliases.groupBy(matching_key("alias").alias("__k")).agg(F.min_by("company", "ord").alias("__c"))
-    joined = out.join(F.broadcast(known), matching_key("resolved") == F.col("__k"), "left")  # the dictionary of aliases
+    spelled = aliases.select("alias", "company", F.lit(1).alias("far"), "ord").union(domains.filter("company IS NOT NULL").select("company", "company", F.lit(0), "ord"))
+    names = spelled.groupBy(matching_key("alias").alias("__k")).agg(F.min_by("company", F.struct("far", "ord")).alias("__c"))
+    joined = out.join(F.broadcast(names), matching_key("resolved") == F.col("__k"), "left")  # dictionaries
     return joined.withColumn("resolved", F.coalesce("__c", "resolved")).drop("__k", "__c")
 
 
@@ -103,6 +150,15 @@ def _(t):
     return resolve(t.messages, t.domains, t.aliases).select("id", "resolved", "provenance")
 
 
+_TIERS = """SELECT id, CASE WHEN ml_label IN ('noise', 'head_hunter') THEN NULL ELSE map {0: 'Firm One', 2: 'Firm Two', 3: 'Bureau of Maps', 4: 'Blue River', 5: 'Green Hill', 6: 'Red Lake', 7: 'Bluestone', 8: 'Quiet Garden', 9: 'Firm Four', 10: 'Stone Works Group', 13: 'Firm Two', 14: 'Firm One'}[tier] END AS resolved,
+CASE WHEN ml_label IN ('noise', 'head_hunter') THEN 'skipped' ELSE coalesce(map {0: 'user_sent_to_company', 1: 'headhunter_domain', 2: 'domain_mapping', 3: 'usastaffing_body_extraction', 4: 'indeed_body_extraction', 5: 'subject_parse', 6: 'ml_prediction', 7: 'body_at_symbol', 8: 'body_regex', 9: 'sender_name_match', 10: 'organization_header', 13: 'subject_parse', 14: 'subject_parse'}[tier], 'unresolved') END AS provenance FROM letters"""
+
+
+@query("e01_e13_all_tiers", _TIERS)
+def _(t):
+    return resolve(t.letters, t.domains, t.aliases, me="me@home.example").select("id", "resolved", "provenance")
+
+
 @query("e13_restore_known_casing", "SELECT DISTINCT upper(m.name) AS raw, coalesce(a.company, upper(m.name)) AS resolved FROM (SELECT 'Firm ' || company_id % 20 AS name FROM messages) m LEFT JOIN aliases a ON lower(a.alias) = lower(m.name)")
 def _(t):
     raw = t.messages.select(F.upper(F.concat(F.lit("Firm "), (F.col("company_id") % 20).cast("string"))).alias("raw")).distinct()

@@ -49,6 +49,18 @@ SQL = {
         SELECT id, company_id, CAST(ts AS DATE) - CAST(8190 + company_id % 200 AS INT) AS day,
             CASE WHEN company_id % 5 = 0 THEN CASE WHEN ml_label IS NULL THEN 'other' ELSE 'noise' END WHEN company_id % 3 = 0 AND ml_label = 'rejection' THEN 'other' ELSE ml_label END AS ml_label
         FROM {messages}""",
+    # messages of every kind that the resolution cascade tells apart: ``tier`` is the kind
+    "letters": """
+        SELECT id, ml_label, id % 16 AS tier,
+            CASE id % 16 WHEN 0 THEN 'Me <Me@home.example>' WHEN 1 THEN 'A <a@d3.example.com>' WHEN 2 THEN 'B <b@mail.d2.example.com>' WHEN 3 THEN 'Jobs <no@usastaffing.gov>' WHEN 4 THEN 'Board <apply@indeed.com>'
+                WHEN 9 THEN 'FIRM FOUR Careers <c@unknown.example>' ELSE 'X <x@unknown.example>' END AS sender,
+            CASE WHEN id % 16 = 0 THEN 'Ann <ann@hr.d1.example.com>' ELSE 'Me <me@home.example>' END AS recipient,
+            CASE id % 16 WHEN 4 THEN 'Indeed Application: Role' WHEN 5 THEN 'Application for Role 3 at Green Hill' WHEN 6 THEN 'Your application to Senior Engineer' WHEN 13 THEN 'Application for Role 4 at Firm II' WHEN 14 THEN 'Application for Role 4 at FIRM ONE' ELSE 'Hello' END AS subject,
+            CASE id % 16 WHEN 3 THEN '<html><style>@ at the Park</style><p>A post at the Bureau of Maps, in the Department of Roads</p></html>' WHEN 4 THEN 'The following items were sent to Blue River and more' WHEN 6 THEN 'red lake wrote to you'
+                WHEN 7 THEN 'the position @ bluestone.' WHEN 8 THEN 'Thanks for applying to Quiet Garden' ELSE 'nothing here' END AS body,
+            CASE id % 16 WHEN 10 THEN 'Stone Works Group' WHEN 11 THEN 'John Smith' END AS organization,
+            CASE id % 16 WHEN 6 THEN 'Red Lake' WHEN 7 THEN 'Absent Name' WHEN 8 THEN 'noise' END AS predicted
+        FROM {messages}""",
     # dimensions: (domain, kind, company, ord); first in order wins
     "domains": """
         SELECT * FROM (VALUES ('d3.example.com', 'headhunter', CAST(NULL AS STRING), 1), ('d7.example.com', 'headhunter', NULL, 2), ('example.net', 'ats', NULL, 3), ('example.org', 'job_board', NULL, 4),
