@@ -75,6 +75,8 @@ def decode_png(media: bytes) -> tuple[bytes, int]:
         elif kind == b"IDAT":
             body.append(data)
         at += 12 + n
+    if shape is None:
+        raise ValueError("no header chunk")
     lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(shape[1], shape[0] + 1)
     if lines[:, 0].any():
         raise ValueError("a line filter other than 0")
@@ -210,7 +212,7 @@ class ArchiveReader(DataSourceReader):
                 if not partition.start <= offset < partition.end:
                     continue
                 held.append((name, offset, *self.member(fs, partition.path, file, offset, crc, n)))
-                size += 4 * n
+                size += sum(len(x) for x in held[-1][2:4] if x is not None)  # media and payload
                 if size >= self.batch:
                     yield _batch(held)
                     held, size = [], 0

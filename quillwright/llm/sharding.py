@@ -1,14 +1,16 @@
 """Operator 5 — global shuffle into shards by a two-pass external shuffle.
 
-Pass 1 scatters records uniformly over memory-sized buckets by a seeded hash of the whole record (not of the key alone,
-so that a key, a source or a null id that holds a third of all rows spreads out). Pass 2 shuffles each bucket in memory by
+Pass 1 scatters records uniformly over memory-sized buckets by a seeded hash of the whole record and its place in the input (not of
+the key alone, so that a key, a source or a null id that holds a third of all rows spreads out; nor of the record alone, so that rows
+that are equal in every column do too). Pass 2 shuffles each bucket in memory by
 Fisher-Yates, with a generator seeded by (seed, bucket), and writes it. The bucket's rows are sorted before, so that a
 repeated task gives the same permutation. A cheap first job counts the buckets; a row's rank in the whole shuffle is then
-its bucket's offset plus its place, and rank g of n goes to shard floor(g * shards / n): counts differ by one at most and
+its bucket's offset plus its place (a bucket whose size differs from the count fails: the input must read the same twice, as files do), and rank g of n goes to shard floor(g * shards / n): counts differ by one at most and
 a bucket touches one or two shards, so few files are written.
 
 Law: ``rows``. Defined results: null text — size 16, CRC-32 of no bytes; repeated rows — each gets a slot of its own (rows
-that are equal in every column are interchangeable); empty table — an empty result; extra columns are carried along.
+that are equal in every column are interchangeable); empty table — an empty result; extra columns are carried along, but for those
+named like a result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, pieces
+from .common import field, free, new_folder, pieces, without
 
 SHARDS, SEED, BUCKET_BYTES = 40, 20240229, 8 << 20
 
@@ -42,18 +44,22 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     """
     spark = docs.sparkSession
     buckets = pieces(docs, bucket_bytes)
+    docs = docs.select(*without(docs.columns, "shard", "slot"))
     # a full hash of the row, maps and variants aside, which Spark doesn't hash
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    given = docs.select(F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(buckets)).alias("__bucket"), F.xxhash64(F.lit(seed + 1), *hashed).alias("__order"), *docs.columns)
-    counts = {r[0]: r[1] for r in given.groupBy("__bucket").count().collect()}  # one row for each memory-sized bucket
+    hashed = [F.monotonically_increasing_id(), *(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)]
+    bucket, place = free(docs.columns, "bucket"), free(docs.columns, "place")
+    given = docs.select(F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(buckets)).alias(bucket), F.xxhash64(F.lit(seed + 1), *hashed).alias(place), "*")
+    counts = {r[0]: r[1] for r in given.groupBy(bucket).count().collect()}  # one row for each memory-sized bucket
     total = sum(counts.values())
     offsets = np.concatenate(([0], np.cumsum([counts.get(b, 0) for b in range(buckets)]))).astype(np.int64)
     path = path or f"{new_folder(spark, 'shards')}/data"
-    schema = ", ".join(["shard int", "slot bigint", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)])
+    schema = ", ".join(["shard int", "slot bigint", *map(field, docs.schema)])
 
     def shuffle(key: tuple, table: pa.Table) -> pa.Table:
         b = key[0].as_py()
-        table = table.sort_by([("__order", "ascending")]).drop_columns(["__bucket", "__order"])
+        if table.num_rows != counts.get(b, 0):
+            raise ValueError(f"bucket {b}: {counts.get(b, 0)} rows when counted, {table.num_rows} now: write the input to a table first")
+        table = table.sort_by([(place, "ascending")]).drop_columns([bucket, place])
         order = fisher_yates(table.num_rows, np.random.default_rng([seed, b]))
         rank = offsets[b] + np.arange(table.num_rows)
         shard = rank * shards // total
@@ -61,7 +67,7 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
         table = table.take(pa.array(order))
         return pa.table([pa.array(shard.astype(np.int32)), pa.array(slot), *table.columns], names=["shard", "slot", *table.column_names])
 
-    given.groupBy("__bucket").applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
+    given.groupBy(bucket).applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
     if not total:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)

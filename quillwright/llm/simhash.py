@@ -15,7 +15,8 @@
 
 Defined results: null or empty text — no word, fingerprint zero, linked like any other; null ``doc_id`` — takes part, and
 is the smallest id only of a component in which all ids are null; repeated rows — equal results on each; very long texts
-are processed whole, in windows; extra columns are ignored by the query and kept by ``near_duplicates``.
+are processed whole, in windows; extra columns are ignored by the query and kept by ``near_duplicates``, but for those
+named like a result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranges, words_of
+from .common import cut, field, free, ranges, without, words_of
 from .components import components
 
 SEED = 42
@@ -66,13 +67,13 @@ def fingerprints(texts: list, width: int = 3) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """``docs`` without the text, with ``fp`` (the fingerprint as a signed 64-bit integer)."""
-    kept = [c for c in docs.columns if c != text]
-    given = docs.select(*kept, F.col(text).alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), "fp bigint"])
+    kept, own = without(docs.columns, text, "fp", "component_id"), free(docs.columns, "bytes")
+    given = docs.select(*kept, F.col(text).alias(own))
+    fields = ", ".join([*(field(f) for f in given.schema if f.name != own), "fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 fp = fingerprints(part.column(at).cast(pa.binary()).to_pylist(), width)
