@@ -91,7 +91,7 @@ def _(t):
     return near_dedup(t.messages.filter("ml_label IS NOT NULL").select("id", "sender", "ml_label", "ts"), ["sender", "ml_label"], seconds=600).select("id", "kept")
 
 
-@query("d04_w13_cluster_longest")
+@query("d04_w13_cluster_longest", "WITH RECURSIVE o AS (SELECT id, sender, ml_label, ts, body, row_number() OVER (PARTITION BY sender, ml_label ORDER BY ts, id) AS rn FROM messages WHERE ml_label IS NOT NULL), f AS (SELECT id, sender, ml_label, body, ts, ts AS anchor, rn, 1 AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.id, o.sender, o.ml_label, o.body, o.ts, CASE WHEN epoch_us(o.ts) - epoch_us(f.anchor) > 600000000 THEN o.ts ELSE f.anchor END, o.rn, CAST(epoch_us(o.ts) - epoch_us(f.anchor) > 600000000 AS INT) FROM f JOIN o ON o.sender = f.sender AND o.ml_label = f.ml_label AND o.rn = f.rn + 1), c AS (SELECT *, sum(kept) OVER (PARTITION BY sender, ml_label ORDER BY rn) AS c FROM f) SELECT max_by(id, (length(body), -id)) AS id FROM c GROUP BY sender, ml_label, c")
 def _(t):
     return longest_of_clusters(t.messages.filter("ml_label IS NOT NULL").select("id", "sender", "ml_label", "ts", "body"), ["sender", "ml_label"], seconds=600).select("id")
 

@@ -1,14 +1,19 @@
-"""Training and prediction (C07, C13-C15, C20) on pyspark.ml, and the sources' and decoders' queries on the driver's tables."""
+"""Training and prediction (C07, C13-C15) on pyspark.ml, and the sources' and decoders' queries on the driver's tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, mail
+from ..plans.lineage import written
 from ..registry import query
 from ..sources.readers import PastedSpec, assign_threads, decoding_summary, page_texts
 
@@ -25,7 +30,7 @@ def prepared(rows: DataFrame, label: str = "ml_label", rare: int = 10, least: in
 
 
 def pipeline(subject_terms: int = 10_000, body_terms: int = 40_000, min_df: float = 2, max_df: float = 0.9, label: str = "ml_label") -> Pipeline:
-    """TF-IDF of words and pairs of words of subject and body, normalised, into a logistic regression."""
+    """TF-IDF of words and pairs of words of subject and body, normalised; ``y`` is the label's index."""
     stages = []
     for part, size in (("subject", subject_terms), ("body", body_terms)):
         stages += [
@@ -37,38 +42,82 @@ def pipeline(subject_terms: int = 10_000, body_terms: int = 40_000, min_df: floa
             Normalizer(inputCol=f"{part}_i", outputCol=f"{part}_v"),
         ]
     stages += [VectorAssembler(inputCols=["subject_v", "body_v"], outputCol="features"), StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep", stringOrderType="alphabetAsc")]
-    stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=0.01, maxIter=30))
     return Pipeline(stages=stages)
 
 
 def split(rows: DataFrame, label: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Stratified by a seeded hash of the key, the same rows on every run."""
-    test = F.pmod(F.xxhash64(F.lit(seed), "id", label), F.lit(1000)) < int(1000 * share)
-    return rows.filter(~test), rows.filter(test)
-
-
-def predict(model: PipelineModel, rows: DataFrame, rule: Column, threshold: float = 0.6) -> DataFrame:
-    """A rule's hit at 0.95, otherwise the model's best class; ``ignore`` is set below the threshold or for noise."""
-    from pyspark.ml.functions import vector_to_array
-
-    labels = F.array(*(F.lit(x) for x in model.stages[-2].labels))
-    p = vector_to_array("probability")
-    out = model.transform(rows.withColumn("weight", F.lit(1.0))).withColumn("__p", F.array_max(F.slice(p, 1, F.size(labels))))
-    best = F.get(labels, F.array_position(p, F.col("__p")).cast("int") - 1)
+    """Stratified: of each label the ``share`` of rows with the least seeded hashes of the key, the same on every run."""
+    h = F.xxhash64(F.lit(seed), "id")
+    marks = rows.groupBy(F.col(label).alias("__l")).agg(F.percentile_approx(h, F.lit(share), F.lit(100_000)).alias("__t"))  # a row for each label
+    marked = rows.join(marks, F.col(label).eqNullSafe(F.col("__l")))
+    return tuple(marked.filter(c).select(*rows.columns) for c in (h > F.col("__t"), h <= F.col("__t")))
+
+
+FOLDS, STRENGTH = 3, 0.5
+
+
+class Calibrated:
+    """Features, and for each fold a regression on the other folds with isotonic calibrators, one against the rest, on the fold."""
+
+    def __init__(self, features: PipelineModel, folds: list[tuple[LogisticRegressionModel, list[IsotonicRegressionModel]]]) -> None:
+        self.features, self.folds, self.labels = features, folds, features.stages[-1].labels
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``p``: calibrated probabilities, normalised in each fold, the folds' mean; even where a fold gives zeros alone."""
+        out, k = self.features.transform(rows), len(self.labels)
+        parts = []
+        for f, (base, curves) in enumerate(self.folds):
+            out = base.setProbabilityCol(f"__p{f}").setRawPredictionCol(f"__r{f}").setPredictionCol(f"__y{f}").transform(out)
+            for j, curve in enumerate(curves):
+                out = out.withColumn(f"__x{f}_{j}", F.coalesce(F.get(vector_to_array(f"__p{f}"), F.lit(j)), F.lit(0.0)))
+                out = curve.setFeaturesCol(f"__x{f}_{j}").setPredictionCol(f"__c{f}_{j}").transform(out)
+            each = [F.col(f"__c{f}_{j}") for j in range(k)]
+            total = reduce(lambda a, b: a + b, each)
+            parts.append([F.when(total > 0, c / total).otherwise(1.0 / k) for c in each])
+        mean = [reduce(lambda a, b: a + b, column) / len(parts) for column in zip(*parts, strict=True)]
+        return out.select(*rows.columns, F.array(*mean).alias("p"))
+
+
+def train(rows: DataFrame, label: str = "ml_label") -> Calibrated:
+    """C13 on ``rows`` (id, subject, body, label)."""
+    given = prepared(rows, label)
+    features = pipeline(label=label).fit(given)
+    known = written(features.transform(given).select("id", "features", "y", "weight"), "training")
+    fold, k = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(FOLDS)), len(features.stages[-1].labels)
+    folds = []
+    for f in range(FOLDS):
+        others = known.filter(fold != f)
+        base = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1 / (STRENGTH * max(1, others.count())), maxIter=30).fit(others)
+        held = written(base.transform(known.filter(fold == f)).select(vector_to_array("probability").alias("p"), "y"), "calibration")
+        curve = lambda j: held.select(F.coalesce(F.get("p", F.lit(j)), F.lit(0.0)).alias("x"), (F.col("y") == j).cast("double").alias("t"))  # noqa: B023, E731
+        folds.append((base, [IsotonicRegression(featuresCol="x", labelCol="t").fit(curve(j)) for j in range(k)]))
+    return Calibrated(features, folds)
+
+
+def predict(model: Calibrated, rows: DataFrame, rule: Column, threshold: float = 0.6) -> DataFrame:
+    """A rule's hit at 0.95, otherwise the best class by calibrated probability; ``ignore`` is set below the threshold or for noise."""
+    out = model.probabilities(rows).withColumn("__p", F.array_max("p"))
+    best = F.get(F.array(*(F.lit(x) for x in model.labels)), F.array_position("p", F.col("__p")).cast("int") - 1)
     return out.select(*rows.columns, F.coalesce(rule, best).alias("label"), F.when(rule.isNotNull(), 0.95).otherwise(F.col("__p")).alias("score")).withColumn("ignore", (F.col("label") == "noise") | (F.col("score") < threshold))
 
 
-def telling_terms(model: PipelineModel, part: str = "subject", stage: int = 3) -> list[str]:
+def telling_terms(model: Calibrated, part: str = "subject") -> list[str]:
     """Vocabulary terms of three letters or more without digits."""
-    return [w for w in model.stages[stage].vocabulary if len(w) >= 3 and not any(c.isdigit() for c in w)]
+    return [w for w in model.features.stages[{"subject": 3, "body": 9}[part]].vocabulary if len(w) >= 3 and not any(c.isdigit() for c in w)]
 
 
 @query("c07_c13_c15_train_and_predict")
 def _(t):
     rows = t.messages.filter("reviewed AND ml_label IS NOT NULL").select("id", "subject", "body", "ml_label")
-    train, test = split(rows, "ml_label")
-    model = pipeline().fit(prepared(train))
-    return predict(model, test, F.when(F.col("body").contains("signup"), "job_application")).select("id", "ml_label", "label", "ignore")
+    known, test = split(rows, "ml_label")
+    return predict(train(known), test, F.when(F.col("body").contains("signup"), "job_application")).select("id", "ml_label", "label", "score", "ignore")
+
+
+@query("c15_telling_terms")
+def _(t):
+    model = pipeline().fit(prepared(t.messages.filter("reviewed AND ml_label IS NOT NULL").select("id", "subject", "body", "ml_label")))
+    terms = [(part, w) for part in ("subject", "body") for w in telling_terms(Calibrated(model, []), part)]
+    return t.spark.createDataFrame(terms, "part string, term string")
 
 
 @query("c14_weak_labels", "SELECT CASE WHEN contains(body, 'purchase') THEN 'rejection' WHEN contains(body, 'signup') THEN 'job_application' WHEN contains(body, 'click') THEN 'interview_invite' ELSE 'other' END AS weak, count(*) AS n FROM messages WHERE ml_label IS NULL OR ml_label = 'other' GROUP BY 1")
