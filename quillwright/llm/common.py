@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
@@ -131,7 +132,7 @@ class Mapped:
             return self._maps[key]
         fs, at = filesystem(path)
         if isinstance(fs, pafs.LocalFileSystem):
-            found = np.memmap(at, dtype=dtype, mode="r") if os.path.getsize(at) else np.empty(0, dtype)
+            found = np.asarray(np.memmap(at, dtype=dtype, mode="r")) if os.path.getsize(at) else np.empty(0, dtype)  # plain arrays: slicing a memmap is slow
         else:
             with fs.open_input_stream(at) as src:
                 found = np.frombuffer(src.read(), dtype)
@@ -224,6 +225,15 @@ def unique_sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts[order], first, dtype=counts.dtype)
 
 
+def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them; by hashing, as values repeat much."""
+    code, found = pd.factorize(values)
+    by = np.argsort(found)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return found[by], rank[code]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of many ranges, one after another."""
     total = int(lengths.sum())

@@ -27,13 +27,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Mapped, ShardedCounts, WordHashes, count_hashes, cut, field, free, id_text, mix, new_folder, pieces, ranges, release, remove, unique_sum, without, words_of, write_file
+from .common import Mapped, ShardedCounts, WordHashes, count_hashes, cut, field, free, id_text, mix, new_folder, ordered, pieces, ranges, release, remove, unique_sum, without, words_of, write_file
 
 END = xxhash.xxh64_intdigest(b" end")  # white space keeps it apart from every word
 SCORES = ("n_tokens", "n_known", "base_score", "score")
@@ -91,7 +90,7 @@ def _sequences(texts: list, memo: WordHashes, vocab: ShardedCounts, maps: Mapped
     inside = np.ones(len(hashes), bool)
     inside[ends] = False
     hashes[inside] = memo.of(words)
-    distinct, back = np.unique(hashes, return_inverse=True)
+    distinct, back = ordered(hashes)
     ids, counts = vocab.find(maps, distinct)
     return ids[back], counts[back], n
 
@@ -107,18 +106,20 @@ def _before(ids: np.ndarray, n: np.ndarray, start: int) -> tuple[np.ndarray, np.
 
 def _shard_of(v: np.ndarray, other: np.ndarray, shards: int, salted: np.ndarray) -> np.ndarray:
     """By the middle word, but for salted ones by the pair with ``other``."""
-    return (mix(np.where(np.isin(v, salted), (v << _HALF) | other, v)) % np.uint64(shards)).astype(np.int64)
+    return _few(mix(np.where(np.isin(v, salted), (v << _HALF) | other, v)) % np.uint64(shards), shards)
+
+
+def _few(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Shard numbers in 16 bits where these do: such numbers are sorted by radix."""
+    return shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)
 
 
 def _distinct(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (64-bit, 32-bit) pairs in order, and the sums of their counts (or their numbers)."""
-    code, found = pd.factorize(high)
-    by = np.argsort(found)
-    rank = np.empty(len(by), np.uint64)
-    rank[by] = np.arange(len(by))
-    keys = (rank[code] << _HALF) | low
+    found, at = ordered(high)
+    keys = (at.astype(np.uint64) << _HALF) | low
     keys, counts = np.unique(keys, return_counts=True) if counts is None else unique_sum(keys, counts)
-    return found[by][(keys >> _HALF).astype(np.int64)], keys & _LOW, counts
+    return found[(keys >> _HALF).astype(np.int64)], keys & _LOW, counts
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -175,18 +176,20 @@ def fit(docs: DataFrame, text: str = "text", *, shard_bytes: int = 8 << 20) -> K
         heavy = np.isin(pair >> _HALF, salted)
         rows += _parts(pair[heavy], seen[heavy].astype(np.uint64), shards)
         pair, seen = pair[~heavy], seen[~heavy].astype(np.uint64)
-        rows += _statistics(pair, seen) + [(-1, 3, b"", _of_counts(counts))]
+        rows += _statistics(pair, seen) + [(-1, 3, _of_counts(counts))]
         _write(f"{folder}/tri-{s:06d}", high, w, counts)
         _write(f"{folder}/bi-{s:06d}", pair >> _HALF, pair & _LOW, seen)
-        return _table([*rows, (-1, 5, b"", np.array([s], np.int64).tobytes())])
+        return _table([*rows, (-1, 5, np.array([s], np.int64).tobytes())])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        pair, seen = unique_sum(*(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("ids", "vals")))
+        parts = [_expand(x) for x in table.column("vals").to_pylist()]
+        pair = np.concatenate([(np.cumsum(v, dtype=np.uint32).astype(np.uint64) << _HALF) | w for v, w, _ in parts])
+        pair, seen = unique_sum(pair, np.concatenate([n for *_, n in parts]).astype(np.uint64))
         _write(f"{folder}/met-{s:06d}", pair >> _HALF, pair & _LOW, seen)
-        return _table([*_statistics(pair, seen), (-1, 6, b"", np.array([s], np.int64).tobytes())])
+        return _table([*_statistics(pair, seen), (-1, 6, np.array([s], np.int64).tobytes())])
 
-    schema = "block int, kind int, ids binary, vals binary"
+    schema = "block int, kind int, vals binary"
     parts = cut(docs.mapInArrow(count, "shard int, rows binary").groupBy("shard").applyInArrow(merge, schema), "lm-parts")
     release(spark)
     late = cut(parts.filter("kind = 2").groupBy("block").applyInArrow(meet, schema), "lm-late")
@@ -196,12 +199,13 @@ def fit(docs: DataFrame, text: str = "text", *, shard_bytes: int = 8 << 20) -> K
         b = key[0].as_py()
         size = 1 << _BLOCK_BITS
         contexts, seen = np.zeros((size, 4), np.int64), np.zeros(size, np.int64)
-        for kind, ids, vals in zip(table.column("kind").to_pylist(), table.column("ids").to_pylist(), table.column("vals").to_pylist(), strict=True):
-            at, x = np.frombuffer(ids, np.int64) - b * size, np.frombuffer(vals, np.int64)
+        for kind, vals in zip(table.column("kind").to_pylist(), table.column("vals").to_pylist(), strict=True):
+            at, *x = _expand(vals)
+            at = np.cumsum(at, dtype=np.uint32)
             if kind == 0:
-                contexts[at] += x.reshape(-1, 4)
+                contexts[at] += np.stack(x, axis=1)
             else:
-                seen[at] += x
+                seen[at] += x[0]
         write_file(f"{folder}/contexts-{b:06d}", contexts.tobytes())
         write_file(f"{folder}/seen-{b:06d}", seen.tobytes())
         return pa.table({"block": pa.array([b], pa.int32()), "n": pa.array([np.array([*((seen == k).sum() for k in (1, 2, 3, 4)), (seen >= 3).sum()], np.int64).tolist()], pa.list_(pa.int64()))})
@@ -223,7 +227,7 @@ def fit(docs: DataFrame, text: str = "text", *, shard_bytes: int = 8 << 20) -> K
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "ids": pa.array([r[2] for r in rows], pa.binary()), "vals": pa.array([r[3] for r in rows], pa.binary())})
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "vals": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _of_counts(counts: np.ndarray) -> bytes:
@@ -232,10 +236,11 @@ def _of_counts(counts: np.ndarray) -> bytes:
 
 def _parts(pair: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
     """Bigrams whose counts are in several shards, by the shard where they meet."""
-    shard = (mix(pair) % np.uint64(shards)).astype(np.int64)
+    shard = _few(mix(pair) % np.uint64(shards), shards)
     order = np.argsort(shard, kind="stable")
     at = [*_runs(shard[order]).tolist(), len(pair)]
-    return [(int(shard[order[a]]), 2, pair[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint64).tobytes()) for a, b in zip(at, at[1:], strict=False)]
+    rows = [(int(shard[order[a]]), order[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    return [(s, 2, _squeeze(np.diff((pair[o] >> _HALF).astype(np.uint32), prepend=np.uint32(0)), pair[o] & _LOW, counts[o])) for s, o in rows]
 
 
 def _statistics(pair: np.ndarray, seen: np.ndarray) -> list[tuple]:
@@ -244,52 +249,59 @@ def _statistics(pair: np.ndarray, seen: np.ndarray) -> list[tuple]:
     first = _runs(context)
     stats = np.stack([np.add.reduceat(x, first) for x in _levels(seen)], axis=1) if len(first) else np.empty((0, 4), np.int64)
     word, many = np.unique((pair & _LOW).astype(np.int64), return_counts=True)
-    return [*_by_block(context[first], stats, 0), *_by_block(word, many.astype(np.int64)[:, None], 1), (-1, 4, b"", _of_counts(seen))]
+    return [*_by_block(context[first], stats, 0), *_by_block(word, many.astype(np.int64)[:, None], 1), (-1, 4, _of_counts(seen))]
 
 
 def _levels(counts: np.ndarray) -> list[np.ndarray]:
     return [counts.astype(np.int64), (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64)]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, byte planes apart, so that the shuffle's codec shrinks them."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, byte planes apart, compressed."""
+    raw = b"".join(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in arrays)
+    return np.array([len(arrays), *map(len, arrays)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, n, 8).tolist()
+    raw, at, out = pa.decompress(blob[8 + 8 * n :], 4 * sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b"", 0, []
+    for size in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, -1).T).view(np.uint32)[:, 0] if size else np.empty(0, np.uint32))
+        at += 4 * size
+    return out
 
 
 def _pack(high: np.ndarray, w: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted trigrams: differences of the contexts' ids, followers of each context, words, counts (of 2^32 - 1 at most: one task's)."""
     first = _runs(high)
-    parts = [(high[first] >> _HALF).astype(np.uint32), (high[first] & _LOW).astype(np.uint32)]
-    parts = [np.diff(x, prepend=np.uint32(0)) for x in parts] + [np.diff(np.append(first, len(high))), w, counts]
-    return np.array([len(first), len(w)], np.int64).tobytes() + b"".join(map(_planes, parts))
+    ids = [(high[first] >> _HALF).astype(np.uint32), (high[first] & _LOW).astype(np.uint32)]
+    return _squeeze(*(np.diff(x, prepend=np.uint32(0)) for x in ids), np.diff(np.append(first, len(high))), w, counts)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (m, n), at, parts = np.frombuffer(blob, np.int64, 2).tolist(), 16, []
-    for size in (m, m, m, n, n):
-        parts.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * size, at).reshape(4, -1).T).view(np.uint32)[:, 0] if size else np.empty(0, np.uint32))
-        at += 4 * size
-    v, u = (np.cumsum(x, dtype=np.uint32).astype(np.uint64) for x in parts[:2])
-    return np.repeat((v << _HALF) | u, parts[2]), parts[3].astype(np.uint64), parts[4].astype(np.uint64)
+    v, u, n, w, counts = _expand(blob)
+    v, u = (np.cumsum(x, dtype=np.uint32).astype(np.uint64) for x in (v, u))
+    return np.repeat((v << _HALF) | u, n), w.astype(np.uint64), counts.astype(np.uint64)
 
 
-#: What a file of pairs holds: high halves of contexts and where each one's low halves start, those, where each one's words start,
-#: words, counts (255: see ``over``); places of counts over 254 and the counts; contexts with many words and their statistics.
-_FIELDS = (("top", np.uint32), ("top_first", np.uint64), ("low", np.uint32), ("first", np.uint64), ("word", np.uint32), ("count", np.uint8), ("over_at", np.uint64), ("over", np.uint64), ("wide", np.uint64), ("wide_stats", np.int64))
+#: What a file of contexts holds: contexts, where each one's words start, words, counts (255: see ``over``); places of counts
+#: over 254 and the counts; contexts with many words and their statistics.
+_FIELDS = (("context", np.uint64), ("first", np.uint32), ("word", np.uint32), ("count", np.uint8), ("over_at", np.uint32), ("over", np.uint64), ("wide", np.uint32), ("wide_stats", np.int64))
 
 
 def _write(path: str, high: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
     """A file of sorted (context, word, count); a context is a 64-bit pair, or one word."""
+    if len(high) >= 1 << 32:
+        raise ValueError("a shard of 2^32 or more entries: fit with a smaller shard_bytes")
     first = _runs(high)
     ends = np.append(first, len(high))
-    context = high[first]
-    top_first = _runs(context >> _HALF)
     over = np.flatnonzero(counts >= 255)
     wide = np.flatnonzero(np.diff(ends) > _WIDE)
     at = ranges(ends[wide], np.diff(ends)[wide])
     cuts = np.cumsum(np.diff(ends)[wide]) - np.diff(ends)[wide]
     stats = np.stack([np.add.reduceat(x, cuts) for x in _levels(counts[at])], axis=1) if len(wide) else np.empty((0, 4), np.int64)
-    values = ((context >> _HALF)[top_first], np.append(top_first, len(context)), context & _LOW, ends, w, np.minimum(counts, 255), over, counts[over], wide, stats.ravel())
+    values = (high[first], ends, w, np.minimum(counts, 255), over, counts[over], wide, stats.ravel())
     arrays = [np.ascontiguousarray(x).astype(kind) for x, (_, kind) in zip(values, _FIELDS, strict=True)]
     write_file(path, np.array([len(x) for x in arrays], np.int64).tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in arrays))
 
@@ -310,7 +322,7 @@ def _search(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -
     return out
 
 
-class _Pairs:
+class _Contexts:
     """A file that ``_write`` has made, mapped."""
 
     def __init__(self, maps: Mapped, path: str) -> None:
@@ -321,25 +333,21 @@ class _Pairs:
             setattr(self, name, raw[at : at + size].view(kind))
             at += size + -size % 8
 
-    def contexts(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, start, end): of the contexts and their words; place -1 and an empty range where there is none."""
-        if not len(self.top):
-            return np.full(len(high), -1, np.int64), np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
-        i = np.minimum(np.searchsorted(self.top, high), len(self.top) - 1)
-        lo, hi = self.top_first[i].astype(np.int64), self.top_first[i + 1].astype(np.int64)
-        hi[self.top[i] != high] = 0
-        at = _search(self.low, lo, hi, low)
-        found = at >= 0
-        start, end = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
-        start[found], end[found] = self.first[at[found]], self.first[at[found] + 1]
-        return at, start, end
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, start, end): of sorted contexts and their words; place -1 and an empty range where there is none."""
+        if not len(self.context):
+            return np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        at = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        found = self.context[at] == context
+        start, end = np.where(found, self.first[at], 0).astype(np.int64), np.where(found, self.first[at + 1], 0).astype(np.int64)
+        return np.where(found, at, -1), start, end
 
     def counts(self, at: np.ndarray) -> np.ndarray:
         """Counts at places; 0 at place -1."""
         out = np.where(at >= 0, self.count[np.maximum(at, 0)], 0).astype(np.int64) if len(self.count) else np.zeros(len(at), np.int64)
         more = np.flatnonzero(out == 255)
         if len(more):
-            out[more] = self.over[np.searchsorted(self.over_at, at[more].astype(np.uint64))]
+            out[more] = self.over[np.searchsorted(self.over_at, at[more].astype(np.uint32))]
         return out
 
     def statistics(self, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -352,14 +360,16 @@ class _Pairs:
             out[some] = np.stack([np.add.reduceat(x, cuts) for x in _levels(counts)], axis=1)
         wide = np.flatnonzero(n > _WIDE)
         if len(wide):
-            out[wide] = self.wide_stats.reshape(-1, 4)[np.searchsorted(self.wide, at[wide].astype(np.uint64))]
+            out[wide] = self.wide_stats.reshape(-1, 4)[np.searchsorted(self.wide, at[wide].astype(np.uint32))]
         return out
 
 
 def _by_block(ids: np.ndarray, values: np.ndarray, kind: int) -> list[tuple]:
+    """Rows of (block, kind, places in the block and values); a shard's values fit 32 bits, their sums need not."""
     block = ids >> _BLOCK_BITS
     at = [*_runs(block).tolist(), len(ids)]
-    return [(int(block[a]), kind, ids[a:b].tobytes(), np.ascontiguousarray(values[a:b]).tobytes()) for a, b in zip(at, at[1:], strict=False)]
+    low = (ids & ((1 << _BLOCK_BITS) - 1)).astype(np.uint32)
+    return [(int(block[a]), kind, _squeeze(np.diff(low[a:b], prepend=np.uint32(0)), *values[a:b].T)) for a, b in zip(at, at[1:], strict=False)]
 
 
 class _Arrays:
@@ -379,7 +389,7 @@ class _Arrays:
                 out[a:b] = x.reshape(-1, width)[ids[a:b] - (int(block[a]) << _BLOCK_BITS)]
         return out
 
-    def by_shard(self, name: str, shard: np.ndarray) -> Iterator[tuple[np.ndarray, _Pairs]]:
+    def by_shard(self, name: str, shard: np.ndarray) -> Iterator[tuple[np.ndarray, _Contexts]]:
         """(places, file) of each shard that has one."""
         order = np.argsort(shard, kind="stable")
         at = [*_runs(shard[order]).tolist(), len(shard)]
@@ -388,18 +398,18 @@ class _Arrays:
             if s in self.m.there[name]:
                 key = f"{name}-{s:06d}"
                 if key not in self.files:
-                    self.files[key] = _Pairs(self.maps, f"{self.m.folder}/{key}")
+                    self.files[key] = _Contexts(self.maps, f"{self.m.folder}/{key}")
                 yield order[a:b], self.files[key]
 
     def continuations(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Continuation counts of bigrams."""
         m, out, none = self.m, np.zeros(len(v), np.int64), np.zeros(len(v), np.uint64)
         heavy = np.isin(v, m.salted)
-        meet = (mix((v << _HALF) | w) % np.uint64(m.shards)).astype(np.int64)
+        meet = _few(mix((v << _HALF) | w) % np.uint64(m.shards), m.shards)
         for name, rows, shard in (("bi", np.flatnonzero(~heavy), _shard_of(v, none, m.shards, none[:0])), ("met", np.flatnonzero(heavy), meet)):
             for at, file in self.by_shard(name, shard[rows]):
                 at = rows[at]
-                _, start, end = file.contexts(none[at], v[at])
+                _, start, end = file.find(v[at])
                 out[at] = file.counts(_search(file.word, start, end, w[at]))
         return out
 
@@ -408,13 +418,14 @@ class _Arrays:
         m = self.m
         shard = _shard_of(context >> _HALF, context & _LOW, m.shards, m.salted)
         stats, counts, place = np.zeros((len(context), 4), np.int64), np.zeros(len(w), np.int64), np.empty(len(context), np.int64)
-        tokens = np.argsort(shard[at], kind="stable")
-        dealt = shard[at][tokens]
+        dealt = shard[at]
+        tokens = np.argsort(dealt, kind="stable")
+        dealt = dealt[tokens]
         for rows, file in self.by_shard("tri", shard):
-            found, start, end = file.contexts(context[rows] >> _HALF, context[rows] & _LOW)
+            found, start, end = file.find(context[rows])
             stats[rows] = file.statistics(found, start, end)
             place[rows] = np.arange(len(rows))
-            mine = tokens[slice(*np.searchsorted(dealt, [shard[rows[0]], shard[rows[0]] + 1]))]
+            mine = tokens[slice(*(np.searchsorted(dealt, shard[rows[0]]), np.searchsorted(dealt, shard[rows[0]], "right")))]
             p = place[at[mine]]
             counts[mine] = file.counts(_search(file.word, start[p], end[p], w[mine]))
         return stats, counts
@@ -434,14 +445,14 @@ def score_texts(model: KneserNey, texts: list, memo: WordHashes, maps: Mapped, a
     two, one = _before(ids, n, v + 1)
     w = ids.astype(np.uint64)
     # bigrams
-    code, pairs = pd.factorize((one << _HALF) | w)
+    pairs, code = ordered((one << _HALF) | w)
     context, word = pairs >> _HALF, pairs & _LOW
     left, left_at = np.unique(context.astype(np.int64), return_inverse=True)
     stats = arrays.dense("contexts", left, 4)[left_at]
     low = p1[np.searchsorted(words, word.astype(np.int64))]
     p2 = np.where(stats[:, 0] > 0, _interpolated(arrays.continuations(context, word), stats, model.d2, low), low)[code]
     # trigrams; a text's first token has no context of two
-    at, contexts = pd.factorize((one << _HALF) | two)
+    contexts, at = ordered((one << _HALF) | two)
     stats, c = arrays.trigrams(contexts, at, w)
     stats = stats[at]
     p = np.where(stats[:, 0] > 0, _interpolated(c, stats, model.d3, p2), p2)
