@@ -248,9 +248,8 @@ class Codec:
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """All texts' ids one after another and their numbers, and of each text its decoded form, roundtrip and parity."""
         plain = [t.replace(MARK, " ") for t in texts]  # the model reads a marker in a text as a space
-        want = self.other.encode(texts, num_threads=self.threads)
-        want_n = np.array(list(map(len, want)), np.int64)
-        want_ids = np.fromiter(itertools.chain.from_iterable(want), np.int32, count=int(want_n.sum()))
+        want = self.other.encode(texts, num_threads=self.threads, return_type="numpy")
+        want_n, want_ids = np.array(list(map(len, want)), np.int64), np.concatenate([np.empty(0, np.int32), *want])
         if self.by_chunk:
             ids, n = self._by_chunks(plain)
         else:
