@@ -91,10 +91,12 @@ def _(t):
     return t.documents.select("doc_id", text.snippet("text").alias("snippet"), text.first_lines("text").alias("head"))
 
 
-@query("f26_strip_headers", "SELECT id, body AS bare FROM messages")
+@query("f26_strip_headers", "SELECT id, CASE WHEN id % 3 = 2 THEN body || chr(10) || 'From: a@b.example' || chr(10) || chr(10) || 'quoted' ELSE body END AS bare FROM messages")
 def _(t):
-    mail = F.concat(F.lit("From: a@b.example\nSubject: "), "subject", F.lit("\n\n"), "body")
-    return t.messages.select("id", text.without_headers(mail).alias("bare"))
+    # no header block; one at the start; header lines inside the body, which stay
+    head = F.concat(F.lit("From: a@b.example\nSubject: "), "subject", F.lit("\nReply-To: c@d.example\n\n"))
+    body = F.when(F.col("id") % 3 == 0, F.col("body")).when(F.col("id") % 3 == 1, F.concat(head, "body")).otherwise(F.concat("body", F.lit("\nFrom: a@b.example\n\nquoted")))
+    return t.messages.select("id", text.without_headers(body).alias("bare"))
 
 
 @query("f27_valid_domain", r"SELECT domain, length(domain) <= 253 AND regexp_matches(lower(domain), '^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$') AS valid FROM (SELECT DISTINCT domain FROM companies UNION ALL SELECT * FROM (VALUES ('-bad.example'), ('a_b.example'), ('plain'), ('ok.example.org')))")
