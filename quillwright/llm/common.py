@@ -58,7 +58,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        remove(df.cut_path)
+        if df.cut_path in _made:
+            _made.remove(df.cut_path)
 
 
 @contextlib.contextmanager

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         after = cut(_star(_star(edges, True), False), "cc")
         same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        drop(edges)
         edges = after
         if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())

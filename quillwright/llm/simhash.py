@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, field, free, ranges, without, words_of
+from .common import cut, drop, field, free, ranges, without, words_of
 from .components import components
 
 SEED = 42
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("__least").alias("component_id"))
     named = cut(named.join(least, "component").select("fp", "component_id"), "simhash-components")
+    drop(nodes, found)
     return marked.join(named, "fp")
 
 
