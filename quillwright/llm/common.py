@@ -30,6 +30,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # ---------------------------------------------------------------- shared folder
 
 
+_own: dict[str, str] = {}  # temporary folders of local applications
 _made: list[str] = []  # folders that this driver has put into the shared one
 
 
@@ -39,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="quillwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="quillwright-")
+        _own[spark.sparkContext.applicationId] = path  # the setting itself can't be changed in a running session
     return path.rstrip("/")
 
 
