@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .langid import op3_language_id
+from .line_dedup import op13_line_runs
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
 from .mixing import op7_soft_mixing
@@ -28,6 +30,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_archive": op8_media_archive,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_topk_search": op10_topk_search,
+    "op13_line_runs": op13_line_runs,
 }
 
 
@@ -36,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_line_runs": line_dedup.ORACLE_SQL}
