@@ -190,6 +190,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def placed(df: DataFrame, order: list, name: str, place: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 0) in the whole order: range partitions are sorted and written, and their sizes (a row a
+    partition on the driver) give the places. ``order`` should tell rows apart, or else equal rows share a partition."""
+    at = free(df.columns, "at")
+    table = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), name)
+    sizes = sorted((r[0], r[1]) for r in table.groupBy(F.shiftright(at, 33)).count().collect())
+    starts, part, start = [], free(df.columns, "part"), free([*df.columns, place], "start")
+    for k, n in sizes:
+        starts.append((k, starts[-1][1] + starts[-1][2] if starts else 0, n))
+    begun = df.sparkSession.createDataFrame([(k, before) for k, before, _ in starts], f"`{part}` bigint, `{start}` bigint")
+    joined = table.join(F.broadcast(begun), F.shiftright(at, 33) == F.col(f"`{part}`"))
+    out = joined.select(*(f"`{c}`" for c in df.columns), (F.col(f"`{start}`") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(place))
+    out.cut_path = table.cut_path
+    return out
+
+
 # ---------------------------------------------------------------- words and hashes
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, prefix_trie
 from .langid import op3_language_id
 from .line_dedup import op13_line_runs
 from .lm import op2_lm_scoring
 from .media import op8_media_archive
 from .mixing import op7_soft_mixing
+from .prefix_trie import op12_prefix_trie
 from .search import op10_topk_search
 from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
@@ -30,6 +31,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_archive": op8_media_archive,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_topk_search": op10_topk_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_runs": op13_line_runs,
 }
 
@@ -39,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_line_runs": line_dedup.ORACLE_SQL}
+    return {"op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_line_runs": line_dedup.ORACLE_SQL}
