@@ -13,6 +13,7 @@ from .lm import op2_lm_scoring
 from .media import op8_media_archive
 from .mixing import op7_soft_mixing
 from .prefix_trie import op12_prefix_trie
+from .resampling import op11_importance_resampling
 from .search import op10_topk_search
 from .secrets import op1_secret_scan
 from .sentencepiece_tok import op9_sentencepiece
@@ -31,6 +32,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_archive": op8_media_archive,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_topk_search": op10_topk_search,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_line_runs": op13_line_runs,
 }

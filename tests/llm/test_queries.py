@@ -20,6 +20,9 @@ CODE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 CLASH = ["shard", "slot", "fp", "component_id", "score", "n_tokens", "bytes", "bucket", "place", "base", "spans", "c", "lang_pred", "rate", "ids", "row", "node", "key", "copy", "gone", "k1", "z", "d", "t1", "n_lines", "batch", "own_z"]
 
 
+BENCHMARK = [(0, "the nation with The house"), (1, None), (2, ""), (3, "école-été w1 w2 w3"), (4, "the nation with The house")]
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
@@ -44,6 +47,8 @@ def folder(request, spark, rows, tmp_path_factory):
     docs = spark.createDataFrame([(i, t, l, "s", len(t or "")) for i, t, l in rows if request.param == "full"], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.select("*", *(F.lit(f"x{c}").alias(c) for c in CLASH)).repartition(3).write.parquet(f"{path}/documents.parquet")
     labels = [(i, 1, int(i % 7 == 0)) for i, *_ in rows if i is not None and 10 <= i < 110] + [(None, 1, 1), (12, None, None)]
+    items = BENCHMARK if request.param == "full" else []
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     turns = conversations() if request.param == "full" else []
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("k1", F.lit("x")).withColumn("depth", F.lit(0)).repartition(3).write.parquet(f"{path}/conversations.parquet")
     spark.createDataFrame(labels if request.param == "full" else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -193,6 +198,27 @@ def check_op10(got, rows):
         assert [x[2] for x in mine] == pytest.approx([x[2] for x in want for _ in range(times)], abs=2e-6)
 
 
+def check_op11(got, rows):
+    lower, word = {c: c + 32 for c in range(65, 91)}, re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def features(t):
+        w = word.findall((t or "").translate(lower))
+        return len(w), [zlib.crc32(" ".join(w[a : a + n]).encode()) % 10000 for n in (1, 2, 3) for a in range(len(w) - n + 1)]
+
+    docs = [(i, *features(t)) for i, t, _ in rows]
+    s, t = collections.Counter(b for *_, f in docs for b in f), collections.Counter(b for _, x in BENCHMARK for b in features(x)[1])
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10000) / ((s[b] + 1) * (t.total() + 10000)))) for b in range(10000)]
+    scored = []
+    for i, n, f in docs:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        scored.append((n < 20, -(weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))), i is None, i or 0, len(f), weight))
+    scored.sort()
+    drawn = 5 * sum(not x[0] for x in scored) // 100
+    want = collections.Counter((None if z else i, f, w, -score, k if k <= drawn else None) for k, (_, score, z, i, f, w) in enumerate(scored, 1))
+    assert collections.Counter((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in got) == want and drawn >= 5
+
+
 def check_op12(got, rows):
     by = collections.defaultdict(list)
     for c, t, role, text in conversations():
