@@ -1,10 +1,12 @@
 """Operator 11 — importance resampling towards a target distribution, with a dictionary of distinct features.
 
-Features are all runs of 1 to 3 words. First pass: each task numbers the words of what it reads, counts distinct n-grams as numbers (three
-21-bit words in one integer), and only then puts each distinct n-gram's string together, once a block of some million words. Blocks send
-(strings, counts), compressed and in order, to a shard of the dictionary, dealt by a hash of the words, so that no n-gram is hot.
-A shard merges them: global counts of distinct strings, each of which is hashed once (CRC-32, modulo ``buckets``), and sums the
-counts by bucket. The buckets' totals give the gains, a table of ``buckets`` rows.
+Features are all runs of 1 to 3 words. First pass: each task numbers the words of what it reads, counts the distinct runs of three words
+(of fewer at a text's end) as numbers, 21 bits a word, and only then puts each one's string together, once a block of some million words. Blocks
+send (strings, counts), compressed and in order, to a shard of the dictionary, dealt by a hash of the first two words; a run's count in a block is
+one number, so that no n-gram is hot. A shard merges them to global counts of distinct strings, and as a run's count is part of those of its first two words
+and its first word, they give the counts of all n-grams: those of two and three words are whole in a shard, single words are put together
+by one more aggregate. Each distinct string is hashed once (CRC-32, modulo ``buckets``), and the counts are summed by bucket. The buckets'
+totals give the gains, a table of ``buckets`` rows.
 
 Second pass: gains are joined to the per-document feature counts by bucket. A document's n-grams find theirs without their strings: CRC-32 is
 linear, so an n-gram's checksum comes from its words' checksums, each of which is computed once a batch (``shifts``). Joining by
@@ -68,34 +70,25 @@ class _Block:
         self.shards, self.known, self.runs, self.own, self.size = shards, {}, [], [], 0
 
     def add(self, lists: list[list[bytes]], lent: int = 0) -> None:
-        """Word numbers of the texts, a 0 after each: no n-gram crosses it. N-grams that end in the first ``lent`` words aren't counted."""
+        """Word numbers of the texts, a 0 after each: no n-gram crosses it. N-grams that begin in the last ``lent`` words aren't counted."""
         flat = [w for words in lists for w in [*words, b""]]
         coded = pa.array(flat, pa.binary()).dictionary_encode()
         known = self.known
         ids = np.fromiter((known.setdefault(w, len(known) + 1) if w else 0 for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
         self.runs.append(ids[coded.indices.to_numpy()])
-        self.own.append(np.arange(len(flat)) >= lent)
+        self.own.append(np.arange(len(flat)) < len(flat) - 1 - lent if lent else np.ones(len(flat), bool))
         self.size += len(flat)
 
     def distinct(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams as three words of 21 bits each, in order, and their counts."""
-        ids, own = rank[np.concatenate(self.runs)], np.concatenate(self.own)
-        codes, counts = [], []
-        for n in (1, 2, 3):
-            whole, code = own[n - 1 :].copy(), np.zeros(max(0, len(ids) - n + 1), np.int64)
-            for k in range(n):
-                part = ids[k : len(ids) - n + 1 + k]
-                code |= part << BITS * (2 - k)
-                whole &= part > 0
-            found, times = np.unique(code[whole], return_counts=True)
-            codes.append(found)
-            counts.append(times.astype(np.uint32))
-        codes, counts = np.concatenate(codes), np.concatenate(counts)
-        order = np.argsort(codes, kind="stable")  # three ordered runs
-        return codes[order], counts[order]
+        """Distinct runs of three words (of fewer at a text's end, then 0) as 21 bits each, in order, and their counts."""
+        ids = np.concatenate([rank[np.concatenate(self.runs)], [0, 0]])
+        first, second, third = ids[:-2], ids[1:-1], ids[2:]
+        code = first << 2 * BITS | second << BITS | np.where(second > 0, third, 0)
+        found, times = np.unique(code[(first > 0) & np.concatenate(self.own)], return_counts=True)
+        return found, times.astype(np.uint32)
 
     def rows(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(shard, n, strings, counts): lengths and bytes of the shard's distinct n-grams, in order."""
+        """(shard, n, strings, counts): lengths and bytes of the shard's distinct runs, in order; runs with the same first two words share a shard."""
         vocab = pa.array(list(self.known), pa.binary())
         order = pc.sort_indices(vocab).to_numpy()
         rank = np.zeros(len(order) + 1, np.int64)
@@ -104,7 +97,7 @@ class _Block:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w or b"") for w in vocab.to_pylist()), np.uint64, len(vocab))
         codes, counts = self.distinct(rank)
         low = (1 << BITS) - 1
-        mixed = (hashes[codes >> 2 * BITS] * np.uint64(0x9E3779B97F4A7C15) + hashes[codes >> BITS & low]) * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[codes & low]
+        mixed = (hashes[codes >> 2 * BITS] * np.uint64(0x9E3779B97F4A7C15) + hashes[codes >> BITS & low]) * np.uint64(0xC2B2AE3D27D4EB4F)
         shard = (((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(self.shards)).astype(np.uint32)
         order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")
         edges = [*np.flatnonzero(np.diff(shard[order].astype(np.int64), prepend=-1)).tolist(), len(order)]
@@ -135,14 +128,15 @@ def _dictionary_parts(column: str, shards: int, block_words: int):
             yield pa.RecordBatch.from_pylist([dict(zip(PART.names, r, strict=True)) for r in held], PART)
 
     def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[bytes]], int]]:
-        """Texts with at most 2 * PIECE words, or a part of a longer one with the two words before it, which are lent."""
+        """Texts with little over 2 * PIECE words, or a part of a longer one with the two words after it, which are lent."""
         for batch in batches:
             for _, lists in _batches(batch, column):
                 held, size = [], 0
                 for words in lists:
-                    for lo in range(PIECE, len(words), PIECE):
-                        yield [words[lo - 2 : lo + PIECE]], 2
-                    held.append(words[:PIECE])
+                    while len(words) > PIECE + 2:
+                        yield [words[: PIECE + 2]], 2
+                        words = words[PIECE:]
+                    held.append(words)
                     size += len(held[-1])
                     if size > PIECE:
                         yield held, 0
@@ -153,7 +147,7 @@ def _dictionary_parts(column: str, shards: int, block_words: int):
         block = _Block(shards)
         for lists, lent in portions(batches):
             block.add(lists, lent)
-            if block.size >= block_words or len(block.known) > (1 << BITS) - 2 * PIECE - 4:  # the next portion's words must fit
+            if block.size >= block_words or len(block.known) > (1 << BITS) - 2 * PIECE - 8:  # the next portion's words must fit
                 yield from flush(block)
                 block = _Block(shards)
         yield from flush(block)
@@ -161,10 +155,38 @@ def _dictionary_parts(column: str, shards: int, block_words: int):
     return run
 
 
-def _strings(n: int, blob: bytes) -> pa.Array:
-    raw = zstandard.decompress(blob)
-    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int32, n)))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 * n :])])
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _strings(n: list[int], blobs: list[bytes]) -> pa.Array:
+    """The strings of several blocks."""
+    raw = [np.frombuffer(zstandard.decompress(b), np.uint8) for b in blobs]
+    lengths = np.concatenate([x[: 4 * k].view(np.int32) for x, k in zip(raw, n, strict=True)])
+    return _binary(np.concatenate(([0], np.cumsum(lengths))), np.concatenate([x[4 * k :] for x, k in zip(raw, n, strict=True)]))
+
+
+def _summed(strings: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct strings and their counts."""
+    coded = strings.dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+
+
+def _prefixes(strings: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """How many words each string has (1 to 3), and the first words and the first two words of those that have them."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8)
+    spaces = np.append(np.flatnonzero(data[: offsets[-1]] == 32), len(data))
+    at = np.searchsorted(spaces, offsets[:-1])
+    words = 1 + np.searchsorted(spaces, offsets[1:]) - at
+    out = []
+    for n in (1, 2):
+        some = words >= n
+        begin, end = offsets[:-1][some], np.where(words > n, spaces[np.minimum(at + n - 1, len(spaces) - 1)], offsets[1:])[some]
+        length = end - begin
+        where = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+        out.append(_binary(np.concatenate(([0], np.cumsum(length))), data[where]))
+    return words, out
 
 
 def bucket_totals(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
@@ -172,19 +194,25 @@ def bucket_totals(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, b
     parts = docs.select(text).mapInArrow(_dictionary_parts(text, pieces(docs, shard_bytes), block_words), "shard bigint, n bigint, strings binary, counts binary")
 
     def merge(table: pa.Table) -> pa.Table:
+        """A shard's n-grams of two and three words are whole here: hashed once each, summed by bucket. Of single words it has a part, given as it is."""
         n, strings, counts = (table.column(c).to_pylist() for c in ("n", "strings", "counts"))
-        coded = pa.chunked_array([_strings(*x) for x in zip(n, strings, strict=True)]).dictionary_encode().unify_dictionaries()
-        place = np.concatenate([x.indices.to_numpy() for x in coded.chunks])
-        found = coded.chunk(0).dictionary
-        times = np.bincount(place, weights=np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint32) for c in counts]), minlength=len(found))
-        bucket = np.fromiter(map(zlib.crc32, found.to_pylist()), np.uint32, len(found)) % buckets  # each distinct string, once
-        sums = np.bincount(bucket, weights=times, minlength=buckets).astype(np.int64)
+        found, times = _summed(_strings(n, strings), np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint32) for c in counts]))
+        words, (one, two) = _prefixes(found)
+        sums = np.zeros(buckets, np.int64)
+        for grams, t in ((found.filter(pa.array(words == 3)), times[words == 3]), _summed(two, times[words >= 2])):
+            for lo in range(0, len(grams), 100_000):
+                part = grams[lo : lo + 100_000].to_pylist()
+                bucket = np.fromiter(map(zlib.crc32, part), np.uint32, len(part)) % buckets
+                sums += np.bincount(bucket, weights=t[lo : lo + 100_000], minlength=buckets).astype(np.int64)
         some = np.flatnonzero(sums)
-        return pa.table({"bucket": pa.array(some), "times": pa.array(sums[some])})
+        single, t = _summed(one, times)
+        none = pa.nulls(len(single), pa.int64()), pa.nulls(len(some), pa.binary())
+        return pa.table({"bucket": pa.concat_arrays([pa.array(some), none[0]]), "word": pa.concat_arrays([none[1], single]), "times": pa.array(np.concatenate((sums[some], t)))})
 
-    sums = parts.groupBy("shard").applyInArrow(merge, "bucket bigint, times bigint").groupBy("bucket").agg(F.sum("times").alias("times"))
+    sums = parts.groupBy("shard").applyInArrow(merge, "bucket bigint, word binary, times bigint").groupBy("bucket", "word").agg(F.sum("times").alias("times"))
+    bucket = F.coalesce("bucket", F.crc32("word") % buckets)  # single words, each once
     out = np.zeros(buckets, np.int64)
-    for r in sums.collect():  # at most ``buckets`` rows
+    for r in sums.groupBy(bucket.alias("bucket")).agg(F.sum("times").alias("times")).collect():  # at most ``buckets`` rows
         out[r["bucket"]] = r["times"]
     return out
 

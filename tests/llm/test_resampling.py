@@ -9,7 +9,7 @@ import pyarrow as pa
 import zstandard
 
 from quillwright.llm import resampling
-from quillwright.llm.resampling import _dictionary_parts, _strings, bucket_totals, gains_of, ngram_checksums, words_of
+from quillwright.llm.resampling import _dictionary_parts, _prefixes, _strings, bucket_totals, gains_of, ngram_checksums, words_of
 
 
 def ngrams(words):
@@ -37,8 +37,12 @@ def test_blocks_and_pieces(monkeypatch):
         for batch in _dictionary_parts("text", 5, block)(iter([pa.record_batch({"text": texts}), pa.record_batch({"text": texts[:3]})])):
             for shard, n, strings, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 assert 0 <= shard < 5
-                for g, c in zip(_strings(n, strings).to_pylist(), np.frombuffer(zstandard.decompress(counts), np.uint32).tolist(), strict=True):
-                    got[g] += c
+                runs = _strings([n], [strings])
+                words, (one, two) = _prefixes(runs)
+                times = np.frombuffer(zstandard.decompress(counts), np.uint32)
+                for grams, t in ((one, times), (two, times[words >= 2]), (runs.filter(pa.array(words == 3)), times[words == 3])):
+                    for g, c in zip(grams.to_pylist(), t.tolist(), strict=True):
+                        got[g] += c
         assert got == want + collections.Counter(g for t in texts[:3] for g in ngrams(words_of((t or "").encode())))
 
 
