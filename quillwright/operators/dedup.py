@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import body_hash
 from ..registry import query
+from .ranking import placed
 
 
 def keep_first(rows: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
@@ -29,36 +31,91 @@ def kept_places(times: np.ndarray, window: float) -> np.ndarray:
     return keep
 
 
-def near_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", order: str = "id", seconds: int = 5) -> DataFrame:
-    """``rows`` with ``kept``: false if a kept row of the same keys is at most ``seconds`` before.
+def exits(times: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """What a chunk of one key's sorted times does to the last kept instant that enters it, as a step function.
 
-    Rows are compared with kept rows only, which a window cannot express. Rows farther apart than ``seconds`` from their
-    neighbours start a new chain (a lag over the key); each chain folds on its own, so that a key's rows are only together
-    as far as they really are close.
+    An entering instant a goes on at the first time over a + window. ``breaks`` and ``leaves``: the first break over a tells what
+    leaves; beyond the last break a itself does. Without an entering instant the first step holds.
+    """
+    after = np.searchsorted(times, times + window, side="right")
+    last = times.copy()
+    for i in range(len(times) - 1, -1, -1):
+        if after[i] < len(times):
+            last[i] = last[after[i]]
+    n = min(len(times), int(after[0]) + 1)  # an entering instant isn't after the first time
+    end = np.append(last[1:n] != last[: n - 1], True)  # of the starts that leave the same, the last
+    return (times[:n] - window)[end].tolist(), last[:n][end].tolist()
+
+
+def folded(rows: DataFrame, keys: list[str], ts: str = "ts", order: str = "id", seconds: int = 5, chunk: int = 50_000) -> DataFrame:
+    """``rows`` with ``kept`` and ``anchor``, the instant (microseconds) of the kept row that a row is or falls to, of D03's fold.
+
+    A fold looks sequential, but a stretch of a key's rows only maps the last kept instant that enters it to one that leaves it. All rows
+    are put in order of key, time and ``order`` and cut into chunks of equal size, wherever keys begin. Each chunk gives its map (``exits``); a
+    stream over the maps, one small row for ``chunk`` rows, tells what enters each chunk; then the chunks fold on their own. So a key that holds all rows
+    is as many tasks' work as any other.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, order)
-    at = F.unix_micros(ts)
-    gap = at - F.lag(at).over(w)
-    chained = rows.withColumn("__new", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0))
-    chained = chained.withColumn("__chain", F.sum("__new").over(w)).drop("__new").withColumn("__us", at)
+    window = seconds * 1_000_000
+    given = rows.withColumn("key_", F.to_json(F.struct(*keys))).withColumn("us_", F.unix_micros(ts))
+    given = placed(given, ["key_", "us_", order], given.columns).withColumn("chunk_", F.floor((F.col("place") - 1) / chunk))
+
+    def summary(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        key, us = part["key_"].to_numpy(), part["us_"].to_numpy()
+        out = [(key[0], *(exits(us, window) if key[0] == key[-1] else ([], [])), False)]
+        if key[0] != key[-1]:  # the last key begins here: what leaves doesn't depend on what enters
+            out.append((key[-1], [], exits(us[key == key[-1]], window)[1][:1], True))
+        return pd.DataFrame(out, columns=["key_", "breaks", "leaves", "fresh"]).assign(chunk_=part["chunk_"].iloc[0])
+
+    maps = given.select("chunk_", "key_", "us_", "place").groupBy("chunk_").applyInPandas(summary, "key_ string, breaks array<bigint>, leaves array<bigint>, fresh boolean, chunk_ bigint")
+
+    def entering(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for part in parts:
+            out = []
+            for k, breaks, leaves, fresh, c in part[["key_", "breaks", "leaves", "fresh", "chunk_"]].itertuples(index=False, name=None):
+                key, last = k, last if k == key else None
+                if not fresh and last is not None:
+                    out.append((c, last))
+                if len(leaves):
+                    at = 0 if last is None else int(np.searchsorted(breaks, last, side="right"))
+                    last = int(leaves[at]) if at < len(leaves) else last
+            yield pd.DataFrame(out, columns=["chunk_", "last_"])
+
+    entered = maps.repartition("key_").sortWithinPartitions("key_", "chunk_").mapInPandas(entering, "chunk_ bigint, last_ bigint")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__us", order], kind="stable")
-        part["kept"] = kept_places(part["__us"].to_numpy(), seconds * 1_000_000)
-        return part.drop(columns=["__us", "__chain"])
-
-    alone = chained.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__chain")))
-    single = alone.filter("__n = 1").drop("__n", "__chain", "__us").withColumn("kept", F.lit(True))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "kept boolean"])
-    folded = alone.filter("__n > 1").drop("__n").groupBy(*keys, "__chain").applyInPandas(fold, schema)
-    return single.unionByName(folded)
-
-
-def longest_of_clusters(rows: DataFrame, keys: list[str], ts: str = "ts", body: str = "body", order: str = "id", seconds: int = 5) -> DataFrame:
+        part = part.sort_values("place").reset_index(drop=True)
+        key, us = part["key_"].to_numpy(), part["us_"].to_numpy()
+        last = part["last_"].iloc[0]
+        new = np.append(True, (key[1:] != key[:-1]) | (us[1:] - us[:-1] > window))  # such a row is kept, whatever was before
+        starts = np.flatnonzero(new)
+        kept = new.copy()
+        for lo, hi in zip(starts, np.append(starts[1:], len(us)), strict=True):
+            if lo == 0 and not pd.isna(last):
+                begin = int(np.searchsorted(us[:hi], int(last) + window, side="right"))
+                kept[:hi] = False
+                kept[begin:hi] = kept_places(us[begin:hi], window)
+            elif hi - lo > 1:
+                kept[lo:hi] = kept_places(us[lo:hi], window)
+        part["kept"] = kept
+        at = np.maximum.accumulate(np.where(kept, np.arange(len(us)), -1))
+        part["anchor"] = np.where(at < 0, -1 if pd.isna(last) else int(last), us[at])
+        return part.drop(columns=["key_", "us_", "place", "chunk_", "last_"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "kept boolean", "anchor bigint"])
+    return given.join(entered, "chunk_", "left").groupBy("chunk_").applyInPandas(fold, schema)
+
+
+def near_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", order: str = "id", seconds: int = 5, chunk: int = 50_000) -> DataFrame:
+    """``rows`` with ``kept``: false if a kept row of the same keys is at most ``seconds`` before (compared with kept rows only)."""
+    return folded(rows, keys, ts, order, seconds, chunk).drop("anchor")
+
+
+def longest_of_clusters(rows: DataFrame, keys: list[str], ts: str = "ts", body: str = "body", order: str = "id", seconds: int = 5, chunk: int = 50_000) -> DataFrame:
     """Clusters of rows within ``seconds`` of the cluster's first row; the longest body of each stays."""
-    marked = near_dedup(rows, keys, ts, order, seconds)
-    cluster = F.sum(F.col("kept").cast("int")).over(Window.partitionBy(*keys).orderBy(ts, order))
-    return marked.withColumn("__c", cluster).groupBy(*keys, "__c").agg(F.max_by(F.struct(*rows.columns), F.struct(F.length(body), -F.col(order))).alias("x")).select("x.*")
+    marked = folded(rows, keys, ts, order, seconds, chunk)  # two kept rows of a key have different instants
+    return marked.groupBy(*keys, "anchor").agg(F.max_by(F.struct(*rows.columns), F.struct(F.length(body), -F.col(order))).alias("x")).select("x.*")
 
 
 def outcome(blank: Column, newsletter: Column, related: Column, personal: Column, duplicate: Column, company_missing: Column) -> tuple[Column, Column]:
