@@ -37,10 +37,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, placed, release
+from .common import cut, pieces, placed, release
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 42, 5, 20
-BLOCK_WORDS, SHARD_BYTES, BATCH_BYTES = 4_000_000, 8 << 20, 4 << 20
+BLOCK_WORDS, SHARD_BYTES, BATCH_BYTES = 4_000_000, 4 << 20, 4 << 20
 BITS, PIECE = 21, 1 << 19
 #: A-Z to lower case, ASCII letters and digits and all bytes beyond ASCII stay, the rest parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -287,6 +287,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("bigint")
     gumbel = F.floor(-1000 * F.log(-F.log((noise + 0.5) / 4294967296.0)))
     scored = weigh(docs, gains, id_column, text).withColumn("score", (F.col("weight") + gumbel).cast("bigint")).withColumn("short", F.col("n_words") < least_words)
+    scored = cut(scored, "scored")  # ranges are found by a sample first: texts are read once all the same
     rows = placed(scored, ["short", F.desc("score"), F.asc_nulls_last("doc_id"), "n_features"], "resampled")
     drawn = percent * rows.filter("NOT short").count() // 100
     return rows.select("doc_id", "n_words", "n_features", "weight", "score", F.when(F.col("place") < drawn, F.col("place") + 1).alias("rank"))
