@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SUBJECT_PATTERNS, address, display_name, domain_suffixes, email_domain, first_match, matching_key, normal_name, person_like, valid_name
 from ..registry import query
+from .matching import held_names
 
 
 def suffix_join(rows: DataFrame, domain: str, dims: DataFrame, longest: bool = False, small: bool = True) -> DataFrame:
@@ -29,20 +30,10 @@ def suffix_join(rows: DataFrame, domain: str, dims: DataFrame, longest: bool = F
     return rows.join(best, rows[domain] == best["__d"], "left").select(*rows.columns, "__m.*")
 
 
-def contained_name(rows: DataFrame, text: Column, names: list[str], longest: bool = True) -> DataFrame:
-    """``rows`` with ``known_name``: the longest (or first) dictionary name that the text holds as whole words.
-
-    One alternation, longest first, is scanned once a row, instead of a theta join.
-    """
-    import re
-
-    order = sorted(names, key=lambda n: (-len(n), names.index(n))) if longest else names
-    pattern = r"(?iU)\b(" + "|".join(re.escape(n) for n in order) + r")\b"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    lower = {n.lower(): (i, n) for i, n in reversed(list(enumerate(order)))}
-    rank = F.create_map(*(F.lit(x) for k, (i, n) in lower.items() for x in (k, i)))
-    spelled = F.create_map(*(F.lit(x) for i, n in lower.values() for x in (i, n)))
-    return rows.withColumn("known_name", spelled[F.array_min(F.transform(found, lambda x: rank[F.lower(x)]))])
+def contained_name(rows: DataFrame, key: str, text: str, names: DataFrame, longest: bool = True) -> DataFrame:
+    """``rows`` with ``known_name``: the longest (or first) name of a dictionary (name, ord) of any size that the text holds as whole words."""
+    found = held_names(rows, key, text, names, longest=longest).select(key, F.col("name").alias("known_name"))
+    return rows.join(found, key, "left")
 
 
 def tiers(**candidates: Column) -> tuple[Column, Column]:
@@ -55,10 +46,10 @@ def tiers(**candidates: Column) -> tuple[Column, Column]:
 # fixed values: two mail domains whose mails name the employer in the body, the pattern and the provenance of each
 BODY_DOMAINS = {
     "usastaffing.gov": ("usastaffing_body_extraction", r"(?i)at the\s+([A-Z][A-Za-z0-9\s&.,'-]+?),\s+in the Department of"),
-    "indeed.com": ("indeed_body_extraction", r"(?i)(?:the following items were sent to|about your application.*?with)\s+([A-Z][A-Za-z0-9\s&.,'-]+?)(?:\s+(?:and|About|Your application|Resume|Cover letter)|\s*$)"),
+    "indeed.com": ("indeed_body_extraction", r"(?i)(?:the following items were sent to|about your application.*?with)\s+([A-Z][A-Za-z0-9\s&.,'-]+?)(?:\s+(?:and|About|Your application|Resume|Cover letter|\n|$))"),
 }
 # fixed values: what stands before an employer's name in a body
-AT_SYMBOL = r"(?i)(?:position|role|opportunity)\s+@\s*([A-Za-z][\w\s&\-]+?)(?=\W|$)"
+AT_SYMBOL = r"(?i)(?:position|role|opportunity)\s+@\s*([A-Za-z][\w\s&\-]+?)(?=[\W]|$)"
 BODY_PHRASES = r"(?i)(?:apply(?:ing)? to|application to|interest in|position at|role at|opportunity with)\s+([A-Z][\w\s&\-]+)"
 UNNAMED = ("job_application", "noise")
 
@@ -75,14 +66,15 @@ def _name(c: Column, valid: bool = True) -> Column:
     return F.when(valid_name(c) if valid else F.lit(True), F.nullif(normal_name(c), F.lit("")))
 
 
-def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str | None = None) -> DataFrame:
+def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str | None = None, subject: DataFrame | None = None) -> DataFrame:
     """The cascade E01-E13: ``messages`` with ``resolved`` and ``provenance``.
 
     In order: the recipient's domain of a mail that ``me`` sent (E01; no other tier serves such a mail), head-hunter domain (none, E02), domain
     map (E03), the organisation or employer in bodies of two domains (E04, E05), a valid name in the subject (E06), a model's valid prediction
     that the mail holds (E07), "position @ X" (E08), "applying to X" (E09), a known name in the sender's display name (E10), the
     Organization header unless it is a person (E11), none (E12). Noise is not resolved. A name that a dictionary knows gets its spelling (E13).
-    Columns recipient, organization and predicted may be missing. Dictionaries are broadcast; ``domains`` and ``aliases`` are configuration.
+    Columns recipient, organization and predicted may be missing. ``subject`` (id, subject_company) has what ``cascade.subject_company`` found
+    for E06; without it a short list of patterns serves. Spark broadcasts dictionaries that are small; ``id`` is unique.
     """
     given = messages
     for c in ("recipient", "organization", "predicted"):
@@ -90,10 +82,15 @@ def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str
             given = given.withColumn(c, F.lit(None).cast("string"))
     sent = F.coalesce(F.lower(address("sender")).startswith(me.lower()), F.lit(False)) if me else F.lit(False)
     rows = given.withColumn("__sent", sent).withColumn("sender_domain", F.when(F.col("__sent"), email_domain("recipient")).otherwise(email_domain("sender")))
-    rows = suffix_join(rows, "sender_domain", domains)
-    # configuration: one array of known names in the dictionary's order, longest match not needed
-    rows = rows.withColumn("__known", domains.filter("company IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("ord", "company")))).scalar())
-    shown, text = F.lower(display_name("sender")), plain_body("body")
+    rows = suffix_join(rows, "sender_domain", domains, small=False)
+    rows = rows.withColumn("__shown", F.lower(display_name("sender")))
+    senders = rows.select("__shown").filter("__shown <> ''").distinct()
+    known = held_names(senders, "__shown", "__shown", domains.filter("company IS NOT NULL").select(F.col("company").alias("name"), "ord"), whole_words=False, longest=False)
+    rows = rows.join(known.select("__shown", F.col("name").alias("__known")), "__shown", "left")
+    if subject is not None:
+        rows = rows.join(subject.select("id", F.col("subject_company").alias("__subject")), "id", "left")
+    parsed = F.col("__subject") if subject is not None else first_match("subject", SUBJECT_PATTERNS)
+    text = plain_body("body")
     mapped = F.when(F.col("kind") == "company", F.col("company"))
     others = ~F.col("__sent")
     head = F.coalesce(F.col("kind") == "headhunter", F.lit(False))
@@ -104,11 +101,11 @@ def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str
         "headhunter_domain": F.when(head, F.lit("")),
         "domain_mapping": mapped,
         **{source: F.when(F.col("sender_domain") == domain, _name(first_match(text, (pattern,)))) for domain, (source, pattern) in BODY_DOMAINS.items()},
-        "subject_parse": _name(first_match("subject", SUBJECT_PATTERNS)),
+        "subject_parse": _name(parsed),
         "ml_prediction": F.when(~F.lower("predicted").isin(*UNNAMED) & held, predicted),
         "body_at_symbol": F.initcap(first_match(text, (AT_SYMBOL,))),
         "body_regex": first_match(F.col("body"), (BODY_PHRASES,)),
-        "sender_name_match": F.when(shown != "", F.get(F.filter("__known", lambda k: shown.contains(F.lower(k["company"]))), F.lit(0))["company"]),
+        "sender_name_match": F.col("__known"),
         "organization_header": F.when(~person_like("organization"), F.nullif(F.trim("organization"), F.lit(""))),
     }
     value, source = tiers(**{k: c if k == "user_sent_to_company" else F.when(others, c) for k, c in tier.items()})
@@ -116,7 +113,7 @@ def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str
     out = rows.select(*messages.columns, F.when(~skip, F.nullif(value, F.lit(""))).alias("resolved"), F.when(skip, "skipped").otherwise(source).alias("provenance"))
     spelled = aliases.select("alias", "company", F.lit(1).alias("far"), "ord").union(domains.filter("company IS NOT NULL").select("company", "company", F.lit(0), "ord"))
     names = spelled.groupBy(matching_key("alias").alias("__k")).agg(F.min_by("company", F.struct("far", "ord")).alias("__c"))
-    joined = out.join(F.broadcast(names), matching_key("resolved") == F.col("__k"), "left")  # dictionaries
+    joined = out.join(names, matching_key("resolved") == F.col("__k"), "left")
     return joined.withColumn("resolved", F.coalesce("__c", "resolved")).drop("__k", "__c")
 
 
@@ -142,7 +139,26 @@ def _(t):
 
 @query("j18_known_name_in_text", r"WITH k AS (SELECT * FROM (VALUES ('Firm 1', 1), ('Firm 11', 2), ('Role 3', 3)) v(name, ord)) SELECT m.id, min_by(k.name, (-length(k.name), k.ord)) AS known_name FROM messages m LEFT JOIN k ON regexp_matches(m.subject, '(?i)\b' || k.name || '\b') GROUP BY 1")
 def _(t):
-    return contained_name(t.messages, F.col("subject"), ["Firm 1", "Firm 11", "Role 3"]).select("id", "known_name")
+    names = t.spark.createDataFrame([("Firm 1", 1), ("Firm 11", 2), ("Role 3", 3)], "name string, ord int")
+    return contained_name(t.messages, "id", "subject", names).select("id", "known_name")
+
+
+_WORD = r"[\p{L}\p{N}\p{M}\p{Pc}]+"
+# two words with one space between: the end of one piece between spaces and the beginning of the next
+_WHOLE = rf"""WITH k AS (SELECT name, min(doc_id) AS ord FROM (SELECT doc_id, array_to_string(string_split_regex(text, '[^a-zA-Z0-9_]+')[2:3], ' ') AS name FROM documents) WHERE regexp_full_match(name, '[a-zA-Z]{{3,}} [a-zA-Z]{{3,}}') GROUP BY name),
+pieces AS (SELECT doc_id, unnest(string_split(text, ' ')) AS c, unnest(range(len(string_split(text, ' ')))) AS i FROM documents),
+pairs AS (SELECT DISTINCT doc_id, lower(regexp_extract(c, '({_WORD})$', 1) || ' ' || regexp_extract(lead(c) OVER (PARTITION BY doc_id ORDER BY i), '^({_WORD})', 1)) AS k FROM pieces),
+m AS (SELECT p.doc_id, k.name, k.ord FROM pairs p JOIN k ON lower(k.name) = p.k)
+SELECT d.doc_id, max_by(m.name, (length(m.name), -m.ord)) AS known_name FROM documents d LEFT JOIN m USING (doc_id) GROUP BY 1"""
+
+
+@query("j18_names_in_whole_texts", _WHOLE)
+def _(t):
+    """The second and third word of every document are a dictionary as long as the table, against all whole texts."""
+    parts = F.slice(F.split("text", r"[^\w]+"), 2, 2)
+    names = t.documents.select(F.array_join(parts, " ").alias("name"), F.col("doc_id").alias("ord")).filter(F.col("name").rlike("^[a-zA-Z]{3,} [a-zA-Z]{3,}$"))
+    names = names.groupBy("name").agg(F.min("ord").alias("ord"))
+    return contained_name(t.documents.select("doc_id", "text"), "doc_id", "text", names).select("doc_id", "known_name")
 
 
 @query("e01_e13_resolution_cascade", "WITH x AS (SELECT *, company_id % 20 AS d FROM messages), v AS (SELECT id, coalesce(ml_label IN ('noise', 'head_hunter'), false) AS skip, CASE WHEN d IN (3, 7) THEN '' WHEN d = 1 THEN 'Firm One' WHEN d = 2 THEN 'Firm Two' WHEN d = 4 THEN 'Firm Four' WHEN d = 5 THEN 'Firm Five' WHEN d = 6 THEN 'Firm Six' WHEN d IN (8, 9) THEN 'Firm ' || d ELSE 'Example Group' END AS value, CASE WHEN d IN (3, 7) THEN 'headhunter_domain' WHEN d IN (8, 9) THEN 'subject_parse' ELSE 'domain_mapping' END AS source FROM x) SELECT id, CASE WHEN skip THEN NULL ELSE nullif(value, '') END AS resolved, CASE WHEN skip THEN 'skipped' ELSE source END AS provenance FROM v")

@@ -73,6 +73,63 @@ SQL = {
 SQL["hh_companies"] = """
         SELECT DISTINCT c.id FROM {companies} c LEFT JOIN (SELECT DISTINCT company_id FROM {messages} WHERE ml_label = 'head_hunter' OR sender LIKE '%@d3.example.com%' OR sender LIKE '%@d7.example.com%') m
         ON m.company_id = c.id WHERE c.status = 'headhunter' OR m.company_id IS NOT NULL"""
+# firms with names of several looks, some like a person's; mails about them, a kind for each stage and guard of the subject cascade (Spark's SQL only)
+SQL["firms"] = """
+        SELECT c_custkey AS id, initcap(lower(translate(n_name, '0123456789_', 'abcdefghij'))) || ' ' || CASE c_custkey % 6 WHEN 0 THEN 'Works' WHEN 1 THEN 'Systems' WHEN 2 THEN 'Foods' WHEN 3 THEN 'Labs' WHEN 4 THEN 'Trade-House' ELSE 'Oil & Gas' END
+            || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' K' || CAST(c_custkey AS STRING) END AS name
+        FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"""
+SQL["firm_names"] = "SELECT name, min(id) AS ord FROM {firms} WHERE id % 3 = 1 GROUP BY name"
+SQL["firm_aliases"] = "SELECT 'nick' || CAST(id AS STRING) AS alias, name AS company, id AS ord FROM {firms} WHERE id % 5 = 0"
+SQL["mail_domains"] = """
+        SELECT 'd' || CAST(id AS STRING) || '.firms.example' AS domain, 'company' AS kind, name AS company, 100 + id AS ord FROM {firms} WHERE id % 2 = 0
+        UNION ALL SELECT * FROM VALUES ('example.net', 'ats', NULL, 1), ('talent.example', 'ats', NULL, 2), ('example.org', 'job_board', NULL, 3), ('d3.example.com', 'headhunter', NULL, 4)"""
+_SUBJECTS = ["{f} application received", "Your application to {f}", "News from {f}", "The position @ {f}", "{f} Interview", "Role 3 - {f} - Boston", "Status - {f}", "Your interest in {f}", "An update on your {f} application", "thank you for your application with {f}", "thank you for applying to {f}", "applying to {f}", "Hello @ {f}", "Re: RE: applying for Field Lead position @ {f}"]
+_KINDS = [  # (sender, subject, body); {f} is the firm's name, {i} its id
+    ("{f} <no-reply@example.net>", "Welcome", "Hello"),
+    ("Ann Lee @ {f} <no-reply@mail.example.net>", "Welcome", "Hello"),
+    ("nick{i} <no-reply@talent.example>", "Welcome", "Hello"),
+    ("X1 <nick{i}+auto@mail.talent.example>", "Welcome", "Hello"),
+    ("X1 <apply@example.org>", "Indeed Application: Role", "<html><style>p</style><p>The following items were sent to {f}. Good luck</p></html>"),
+    ("X1 <apply@example.org>", "An application", "<strong> <a href=1>{f}</a></strong> answers about your application"),
+    ("X1 <apply@example.org>", "An application", "It was sent to AB.\nBye"),
+    ("X1 <a@b.example>", "Your application", "Thank you for the position here at {f}. Bye"),
+    ("X1 <a@b.example>", "We applied it", "A position with {f}\nBye"),
+    ("X1 <a@b.example>", "Your application", "Your application for our Field Lead 3 at {f}.\nBye"),
+    ("X1 <a@b.example>", "Applying", "Thank you for considering us at {f} as you go on"),
+    ("X1 <a@b.example>", "Applying", "Thank you for considering {f} as a potential employer"),
+    ("X1 <a@b.example>", "Your application", "The position at Senior Engineer. Thank you"),
+    ("X1 <x@intelligencecareers.gov>", "Your application", "Your application to the {f} (AB) is here"),
+    ("X1 <x@hr.d{i}.firms.example>", "Hello", "Hello"),
+    ("X1 <a@b.example>", "We at {f} thank you", "Hello"),
+    ("{f} Recruiting Team <a@b.example>", "Your application", "Hello"),
+    ("Bo Li @ Zeta Technologies <a@b.example>", "Your application", "Hello"),
+    ("Mary Jones Careers <a@b.example>", "Your application", "Hello"),
+    ("X1 <a@b.example>", "{f}: hello", "Hello"),
+    ("X1 <a@b.example>", "Interview with John Smith", "Hello"),
+    ("X1 <a@b.example>", "News from John Smith", "Hello"),
+    ("X1 <a@b.example>", "Mary Jones: a note", "Hello"),
+    ("X1 <a@b.example>", "Your application for Senior Engineer Two", "Hello"),
+    ("X1 <a@b.example>", "the Field post at {f}", "Hello"),
+    ("X1 <a@b.example>", "Greetings nick{i}, application to Somebody Else Works", "Hello"),
+    ("Me <Me@home.example>", "Hello", "Hello"),
+    ("A <a@d3.example.com>", "Hello", "Hello"),
+    ("John Smith <j@example.net>", "Hello from John Smith", "Hello"),
+    ("relay <x@relay.example>", "Invitation", "{calendar} join the meeting"),
+    *(("X1 <a@b.example>", x, "Hello") for x in _SUBJECTS),
+]
+
+
+def _filled(text: str) -> str:
+    calendar = "base64(CAST('BEGIN:VCALENDAR x ORGANIZER;CN=Somebody Here:mailto:boss@d' || CAST(f.id AS STRING) || '.firms.example END:VCALENDAR' AS BINARY))"
+    parts = re.split(r"({f}|{i}|{calendar})", text)
+    return " || ".join({"{f}": "f.name", "{i}": "CAST(f.id AS STRING)", "{calendar}": calendar}.get(p) or "'" + p.replace("\n", "\\n") + "'" for p in parts if p)
+
+
+SQL["mails"] = f"""
+        SELECT m.id, m.ml_label, CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[0])}" for k, x in enumerate(_KINDS))} END AS sender, 'Ann <ann@hr.d' || CAST(f.id AS STRING) || '.firms.example>' AS recipient,
+            CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[1])}" for k, x in enumerate(_KINDS))} END AS subject, CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[2])}" for k, x in enumerate(_KINDS))} END AS body,
+            CASE WHEN m.id % 3 = 0 THEN f.name || ' Holding' END AS organization, CAST(NULL AS STRING) AS predicted
+        FROM {{messages}} m JOIN {{firms}} f ON f.id = 1 + m.id * 7 % 149"""
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 

@@ -19,6 +19,7 @@ MODULES = [
     "operators.scalars",
     "operators.rules",
     "operators.resolve",
+    "operators.cascade",
     "operators.dedup",
     "operators.rollup",
     "operators.audits",
