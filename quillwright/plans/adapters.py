@@ -129,7 +129,7 @@ SQL["mails"] = f"""
         SELECT m.id, m.ml_label, CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[0])}" for k, x in enumerate(_KINDS))} END AS sender, 'Ann <ann@hr.d' || CAST(f.id AS STRING) || '.firms.example>' AS recipient,
             CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[1])}" for k, x in enumerate(_KINDS))} END AS subject, CASE m.id % {len(_KINDS)} {" ".join(f"WHEN {k} THEN {_filled(x[2])}" for k, x in enumerate(_KINDS))} END AS body,
             CASE WHEN m.id % 3 = 0 THEN f.name || ' Holding' END AS organization, CAST(NULL AS STRING) AS predicted
-        FROM {{messages}} m JOIN {{firms}} f ON f.id = 1 + m.id * 7 % 149"""
+        FROM {{messages}} m JOIN {{firms}} f ON f.id = 1 + (m.id * 7 + m.id % 31) % 149"""
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
