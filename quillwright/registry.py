@@ -20,6 +20,7 @@ MODULES = [
     "operators.rules",
     "operators.resolve",
     "operators.cascade",
+    "operators.aliases",
     "operators.dedup",
     "operators.rollup",
     "operators.audits",
