@@ -85,9 +85,9 @@ def _(t):
     return t.messages.select("thread_id").distinct().join(left, "thread_id", "left_anti")
 
 
-@query("k20_dictionary_import", "SELECT alias AS name FROM aliases UNION SELECT company FROM aliases UNION SELECT company FROM domains WHERE company IS NOT NULL")
+@query("k20_dictionary_import", "SELECT alias AS name FROM nicknames UNION SELECT company FROM nicknames UNION SELECT company FROM firm_domains")
 def _(t):
-    names = t.aliases.select(F.col("alias").alias("name")).union(t.aliases.select("company")).union(t.domains.filter("company IS NOT NULL").select("company"))
+    names = t.nicknames.select(F.col("alias").alias("name")).union(t.nicknames.select("company")).union(t.firm_domains.select("company"))
     return names.distinct()
 
 

@@ -144,10 +144,10 @@ def _(t):
     return t.threads.filter((F.col("status") == "ghosted") | F.col("sent_date").between("1998-01-01", "1998-01-31")).select("thread_id", "status")
 
 
-@query("p19_name_uniqueness", "WITH candidates AS (SELECT * FROM (VALUES ('firm one'), ('FIRM II'), ('Unheard Of')) v(name)) SELECT c.name, EXISTS (SELECT 1 FROM aliases a WHERE lower(a.alias) = lower(c.name) OR lower(a.company) = lower(c.name)) AS taken FROM candidates c")
+@query("p19_name_uniqueness", "WITH candidates AS (SELECT DISTINCT upper(CASE WHEN p_partkey % 2 = 0 THEN 'Firm ' ELSE 'Nick ' END || CAST(p_partkey % 80 AS STRING)) AS name FROM part) SELECT c.name, EXISTS (SELECT 1 FROM nicknames a WHERE lower(a.alias) = lower(c.name) OR lower(a.company) = lower(c.name)) AS taken FROM candidates c")
 def _(t):
-    names = t.spark.createDataFrame([("firm one",), ("FIRM II",), ("Unheard Of",)], "name string")
-    known = t.aliases.select(F.lower("alias").alias("k")).union(t.aliases.select(F.lower("company"))).distinct()
+    names = t.part.select(F.upper(F.concat(F.when(F.col("p_partkey") % 2 == 0, "Firm ").otherwise("Nick "), (F.col("p_partkey") % 80).cast("string"))).alias("name")).distinct()
+    known = t.nicknames.select(F.lower("alias").alias("k")).union(t.nicknames.select(F.lower("company"))).distinct()
     return names.join(known, F.lower("name") == F.col("k"), "left").select("name", F.col("k").isNotNull().alias("taken"))
 
 

@@ -146,15 +146,15 @@ def _(t):
     return t.companies.join(F.broadcast(d), "domain", "left").select("id", "dictionary_name")
 
 
-@query("j23_shortest_domain", "SELECT lower(company) AS company, min_by(domain, (length(domain), ord)) AS domain FROM domains WHERE company IS NOT NULL GROUP BY 1")
+@query("j23_shortest_domain", "SELECT lower(company) AS company, min_by(domain, (length(domain), ord)) AS domain FROM firm_domains GROUP BY 1")
 def _(t):
-    return t.domains.filter("company IS NOT NULL").groupBy(F.lower("company").alias("company")).agg(F.min_by("domain", F.struct(F.length("domain"), "ord")).alias("domain"))
+    return t.firm_domains.groupBy(F.lower("company").alias("company")).agg(F.min_by("domain", F.struct(F.length("domain"), "ord")).alias("domain"))
 
 
-@query("j24_all_aliases", "SELECT company, string_agg(alias, ', ' ORDER BY ord) AS aliases FROM aliases GROUP BY 1")
+@query("j24_all_aliases", "SELECT company, string_agg(alias, ', ' ORDER BY ord) AS aliases FROM nicknames GROUP BY 1")
 def _(t):
     rows = F.array_sort(F.collect_list(F.struct("ord", "alias")))
-    return t.aliases.groupBy("company").agg(F.array_join(F.transform(rows, lambda r: r["alias"]), ", ").alias("aliases"))
+    return t.nicknames.groupBy("company").agg(F.array_join(F.transform(rows, lambda r: r["alias"]), ", ").alias("aliases"))
 
 
 @query("k22_search_recency_flag", f"SELECT id, last_job_search_date IS NOT NULL AND date_diff('day', last_job_search_date, CAST(TIMESTAMP '{AS_OF}' AS DATE)) <= 7 AS recent FROM companies")

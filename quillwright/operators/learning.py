@@ -196,10 +196,11 @@ def _(t):
     return t.messages.select("id", mail.parsed_date(text).alias("ts"))
 
 
-@query("s14_pasted_spec", "SELECT 'from' AS name, '(a@x.example OR b@x.example)' AS value UNION ALL SELECT 'subject', 'offer'")
+@query("s14_pasted_spec", "SELECT s_suppkey AS id, 'from' AS name, '(a' || CAST(s_suppkey AS STRING) || '@x.example OR b@x.example)' AS value FROM supplier UNION ALL SELECT s_suppkey, 'subject', s_name FROM supplier")
 def _(t):
-    spec = t.spark.createDataFrame([("From: (a@x.example OR\n  b@x.example)\nSubject: offer\nnonsense\n",)], "spec string")
-    return spec.lateralJoin(PastedSpec(F.col("spec").outer()), None).select("name", "value")
+    key = F.col("s_suppkey").cast("string")
+    spec = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("From: (a"), key, F.lit("@x.example OR\n  b@x.example)\nSubject: "), "s_name", F.lit("\nnonsense\n")).alias("spec"))
+    return spec.lateralJoin(PastedSpec(F.col("spec").outer()), None).select("id", "name", "value")
 
 
 @query("s15_f30_page_text")

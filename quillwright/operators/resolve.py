@@ -232,10 +232,17 @@ def _(t):
     return t.companies.select("domain").distinct().join(F.broadcast(kinds), "domain", "left").select("domain", "label")
 
 
-@query("e18_k18_alias_approval", "WITH asked AS (SELECT * FROM (VALUES ('Firm 9', 'Firm Nine', true), ('Firm 1', 'Firm Uno', true), ('Firm 8', 'Firm Eight', false)) v(alias, company, approved)) SELECT alias, company FROM aliases WHERE alias NOT IN (SELECT alias FROM asked WHERE approved) UNION ALL SELECT alias, company FROM asked WHERE approved")
+def approved_aliases(aliases: DataFrame, asked: DataFrame) -> DataFrame:
+    """(alias, company): approved ones replace those of the same alias; rejected ones are left out."""
+    yes = asked.filter("approved").select("alias", "company")
+    return aliases.select("alias", "company").join(yes, "alias", "left_anti").unionByName(yes)
+
+
+@query("e18_k18_alias_approval", "WITH asked AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'Nick ' ELSE 'New ' END || CAST(s_suppkey AS STRING) AS alias, 'Firm ' || CAST(s_suppkey % 7 AS STRING) AS company, s_suppkey % 3 <> 0 AS approved FROM supplier WHERE s_suppkey % 4 < 2) SELECT alias, company FROM nicknames WHERE alias NOT IN (SELECT alias FROM asked WHERE approved) UNION ALL SELECT alias, company FROM asked WHERE approved")
 def _(t):
-    asked = t.spark.createDataFrame([("Firm 9", "Firm Nine", True), ("Firm 1", "Firm Uno", True), ("Firm 8", "Firm Eight", False)], "alias string, company string, approved boolean").filter("approved")
-    return t.aliases.join(asked, "alias", "left_anti").select("alias", "company").unionByName(asked.select("alias", "company"))
+    key = F.col("s_suppkey")
+    asked = t.supplier.filter(key % 4 < 2).select(F.concat(F.when(key % 2 == 0, "Nick ").otherwise("New "), key.cast("string")).alias("alias"), F.concat(F.lit("Firm "), (key % 7).cast("string")).alias("company"), (key % 3 != 0).alias("approved"))
+    return approved_aliases(t.nicknames, asked)
 
 
 @query("e19_simple_resolver", r"SELECT id, coalesce(nullif(trim(regexp_extract(subject, '\bat ([A-Z][\w&. -]*?)\s*$', 1)), ''), regexp_extract(sender, '<([^>]*)>\s*$', 1)) AS company FROM messages")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
 
 
+def merged_dictionary(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(domain, company, change): old entries (domain, old) with new ones (domain, company) put in: added, updated, same or kept."""
+    change = F.when(F.col("old").isNull(), "added").when(F.col("company").isNull(), "kept").when(F.col("company") == F.col("old"), "same").otherwise("updated")
+    return new.join(old, "domain", "full_outer").select("domain", F.coalesce("company", "old").alias("company"), change.alias("change"))
+
+
 @query("u01_distinct", "SELECT DISTINCT job_title, status FROM threads")
 def _(t):
     return t.threads.select("job_title", "status").distinct()
@@ -58,9 +65,9 @@ def _(t):
     return used.unionByName(missing)
 
 
-@query("u09_k17_dictionary_diff", "WITH new AS (SELECT * FROM (VALUES ('d1.example.com', 'Firm One'), ('d2.example.com', 'Firm Deux'), ('d77.example.com', 'Firm New')) v(domain, company)), old AS (SELECT domain, min_by(company, ord) AS company FROM domains WHERE kind = 'company' GROUP BY 1) SELECT coalesce(n.domain, o.domain) AS domain, CASE WHEN o.domain IS NULL THEN 'added' WHEN n.domain IS NULL THEN 'kept' WHEN n.company = o.company THEN 'same' ELSE 'updated' END AS change FROM new n FULL JOIN old o ON o.domain = n.domain")
+@query("u09_k17_dictionary_diff", "WITH new AS (SELECT 'd' || CAST(s_suppkey * 2 AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '.example.com' ELSE '.co.example' END AS domain, 'Firm ' || CAST(s_suppkey * 2 % CASE WHEN s_suppkey % 4 = 0 THEN 47 ELSE 50 END AS STRING) AS company FROM supplier) SELECT coalesce(n.domain, o.domain) AS domain, CASE WHEN o.domain IS NULL THEN 'added' WHEN n.domain IS NULL THEN 'kept' WHEN n.company = o.company THEN 'same' ELSE 'updated' END AS change FROM new n FULL JOIN firm_domains o ON o.domain = n.domain")
 def _(t):
-    new = t.spark.createDataFrame([("d1.example.com", "Firm One"), ("d2.example.com", "Firm Deux"), ("d77.example.com", "Firm New")], "domain string, company string")
-    old = t.domains.filter("kind = 'company'").groupBy("domain").agg(F.min_by("company", "ord").alias("old"))
-    change = F.when(F.col("old").isNull(), "added").when(F.col("company").isNull(), "kept").when(F.col("company") == F.col("old"), "same").otherwise("updated")
-    return new.join(old, "domain", "full_outer").select("domain", change.alias("change"))
+    key = F.col("s_suppkey")
+    domain = F.concat(F.lit("d"), (key * 2).cast("string"), F.when(key % 3 == 0, ".example.com").otherwise(".co.example"))
+    new = t.supplier.select(domain.alias("domain"), F.concat(F.lit("Firm "), F.when(key % 4 == 0, key * 2 % 47).otherwise(key * 2 % 50).cast("string")).alias("company"))
+    return merged_dictionary(new, t.firm_domains.select("domain", F.col("company").alias("old"))).select("domain", "change")

@@ -68,6 +68,9 @@ SQL = {
             ('d6.example.com', 'company', 'Firm Six', 9), ('example.com', 'company', 'Example Group', 10), ('d8.example.com', 'personal', NULL, 11), ('d9.example.com', 'job_board', NULL, 12)) AS v(domain, kind, company, ord)""",
     "aliases": """
         SELECT * FROM (VALUES ('Firm 1', 'Firm One', 1), ('Firm 2', 'Firm Two', 2), ('Firm II', 'Firm Two', 3), ('Firm 4', 'Firm Four', 4), ('Firm 5', 'Firm Five', 5), ('Fünf', 'Firm Five', 6)) AS v(alias, company, ord)""",
+    # dictionaries as long as the tables: domains and nicknames of firms
+    "firm_domains": "SELECT 'd' || CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN '.example.com' ELSE '.co.example' END AS domain, 'Firm ' || CAST(c_custkey % 50 AS STRING) AS company, c_custkey AS ord FROM {customer}",
+    "nicknames": "SELECT 'Nick ' || CAST(s_suppkey AS STRING) AS alias, 'Firm ' || CAST(s_suppkey % 50 AS STRING) AS company, s_suppkey AS ord FROM {supplier}",
     "truth": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' ELSE 'low' END AS label FROM {labels}",
 }
 SQL["hh_companies"] = """
