@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dom import posting
 from ..functions import html, mail
 from ..plans.lineage import written
 from ..registry import query
@@ -211,3 +212,8 @@ def _(t):
 @query("f31_f39_page_content")
 def _(t):
     return t.pages.select("page_id", F.length(html.sanitised("html")).alias("sanitised"), F.length(html.main_content("html")).alias("content"), html.career_link("html").alias("career"))
+
+
+@query("f41_posting_text")
+def _(t):
+    return t.pages.select("page_id", posting("html").alias("p")).select("page_id", "p.source", "p.text")

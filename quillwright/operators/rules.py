@@ -29,35 +29,40 @@ class Rules:
     vetoes: dict[str, list[str]] = field(default_factory=dict)
     vetoes_everywhere: bool = False
 
+    def plus(self, staged: dict[str, list[str]] | None = None, labels: dict[str, list[str]] | None = None, vetoes: dict[str, list[str]] | None = None) -> Rules:
+        """These rules with more patterns at the ends of their lists."""
+        both = ({k: [*old.get(k, []), *(new or {}).get(k, [])] for k in {**old, **(new or {})}} for old, new in ((self.staged, staged), (self.labels, labels), (self.vetoes, vetoes)))
+        return Rules(*both, self.vetoes_everywhere)
 
-#: A small neutral dictionary of the engine's own.
+
+#: The engine's own dictionary for mails about applications. Deployments load theirs (``sources.readers``) or add to it (``Rules.plus``).
 DEFAULT = Rules(
     staged={
-        "confirmation_subject": [r"^application submitted\b", r"role 6 at firm 1\b"],
-        "assessment_subject": [r"\bassessment complete"],
-        "incomplete": [r"finish your application", r"role 5 .*number 9"],
-        "cancelled": [r"position (has been|was) cancelled", r"role 4 .*number 8"],
-        "rejection": [r"not (be )?moving forward", r"purchase number [0-4]\b"],
-        "prescreen": [r"phone screen", r"click number 1\b"],
-        "scheduling": [r"schedule (a|an|your) (call|interview)", r"click number [23]\b"],
-        "application": [r"thank you for applying", r"signup number [0-5]\b"],
-        "referral": [r"referred you", r"signup number 6\b"],
-        "status_update": [r"status update", r"view number 0\b"],
-        "application_confirmation": [r"we received your application", r"signup number 7\b"],
-        "contact": [r"\bcall me\b", r"number 8\b"],
+        "confirmation_subject": [r"^application (submitted|received|confirmation)\b", r"^thank you for (your application|applying)\b"],
+        "assessment_subject": [r"\bassessment (is )?complete", r"\bcoding (challenge|test) (submitted|complete)"],
+        "incomplete": [r"(finish|complete|continue) your application", r"application is (incomplete|not complete)", r"haven't (finished|submitted) your application"],
+        "cancelled": [r"position (has been|was|is) (cancelled|canceled|closed|withdrawn)", r"no longer (hiring|recruiting) for this"],
+        "rejection": [r"not (be )?moving forward", r"(decided|chosen) to (proceed|move forward) with other candidates", r"regret to inform you", r"not (been )?selected", r"position has been filled"],
+        "prescreen": [r"phone screen", r"(initial|introductory) (call|conversation) with (our|a) recruiter", r"recruiter screen"],
+        "scheduling": [r"schedule (a|an|your) (call|interview|conversation)", r"(pick|choose|book) a time (slot )?(that|to|for)", r"your availability for (a|an) (call|interview)"],
+        "application": [r"thank you for applying", r"thanks for (your application|applying)", r"your application (has been|was) (received|submitted)"],
+        "referral": [r"referred you", r"employee referral"],
+        "status_update": [r"status update", r"update on (the status of )?your application"],
+        "application_confirmation": [r"we('ve| have)? received your application", r"confirm(ing)? (the )?receipt of your application"],
+        "contact": [r"\bcall me\b", r"\breach out to me\b", r"\bgive me a ring\b"],
     },
     labels={
-        "offer": [r"offer letter", r"purchase number 5\b"],
-        "head_hunter": [r"my client is hiring", r"click number [89]\b"],
-        "noise": [r"unsubscribe", r"error number [0-6]\b"],
-        "prescreen": [r"screening call"],
-        "job_application": [r"your application", r"signup number [89]\b"],
-        "interview_invite": [r"interview", r"click number [4-7]\b"],
-        "other": [r"view number [1-5]\b"],
-        "referral": [r"a friend suggested", r"purchase number 6\b"],
-        "ghosted": [r"view number 6\b"],
+        "offer": [r"offer letter", r"pleased to (offer|extend)", r"offer of employment"],
+        "head_hunter": [r"my client is (hiring|looking)", r"on behalf of (my|our) client", r"confidential search for"],
+        "noise": [r"unsubscribe", r"job alert", r"weekly digest", r"recommended jobs for you"],
+        "prescreen": [r"screening call", r"screening questions"],
+        "job_application": [r"your application", r"application received"],
+        "interview_invite": [r"interview", r"meet (with )?the (hiring )?team", r"invite you to (a|an) (call|conversation)"],
+        "other": [r"background check", r"reference check", r"onboarding"],
+        "referral": [r"a friend suggested", r"was referred by"],
+        "ghosted": [r"haven't heard (back )?from you", r"no response to our"],
     },
-    vetoes={"noise": [r"error number 3\b"], "head_hunter": [r"role 0"], "referral": [r"role 1"]},
+    vetoes={"noise": [r"interview (is )?(scheduled|confirmed)", r"offer letter"], "head_hunter": [r"\bour own team\b"], "referral": [r"referral (program|bonus)"]},
 )
 
 
@@ -123,7 +128,12 @@ def arbitrate(rule: Column, ml_label: Column, ml_confidence: Column) -> tuple[Co
     return F.coalesce(rule, ml_label), F.when(hit, 1.0).otherwise(ml_confidence), F.when(hit, "rule").when(ml_label.isNotNull(), "ml").otherwise("none")
 
 
-def adjusted(label: Column, text: Column, confidence: Column, offer: str = r"offer", generic: str = r"number 4", details: str = r"number 5") -> Column:
+# fixed values: what makes an invitation an offer or a meeting like any other, and what gives a meeting away
+OFFER, GENERIC = r"\boffer\b|\bcompensation\b|\bsalary\b|\brate\b|\bnegotiat", r"meeting with|meeting invitation"
+DETAILS = r"meeting id|passcode|join.*meeting|zoom\.us|meet\.google|teams\.microsoft"
+
+
+def adjusted(label: Column, text: Column, confidence: Column, offer: str = OFFER, generic: str = GENERIC, details: str = DETAILS) -> Column:
     """An interview that reads like an offer, or is generic and unsure, is other; other with meeting details is an interview."""
     interview = label == "interview_invite"
     out = F.when(interview & text.rlike(f"(?i){offer}"), "other").when(interview & text.rlike(f"(?i){generic}") & (confidence < 0.7), "other")
@@ -137,6 +147,47 @@ def overridden(label: Column, *, personal: Column, job_board: Column, headhunter
     return out.when(forwarded, "other").when(user_sent, "other").otherwise(label)
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Places (from 0, end exclusive) of all matches of a pattern that never matches nothing: lengths of what lies between them, summed up."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("g"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.length(x["g"])
+        end = begin + F.length(x["m"])
+        return F.struct(end.alias("at"), F.array_append(s["spans"], F.struct(begin.alias("start"), end.alias("end"))).alias("spans"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+
+
+def joined_spans(spans: Column) -> Column:
+    """Overlapping and touching spans made one, in order."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"])
+        return F.when(touches, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.array_append(done, x))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
+
+
+def highlights(text: Column, rules: Rules) -> tuple[Column, Column]:
+    """(hits, highlights) over all lists of ``rules``: which list's which pattern matches where, and the text's places to mark.
+
+    ``hits``: array of (list, pattern, spans), patterns without a match left out; null text has none.
+    """
+    given = F.coalesce(text, F.lit(""))
+    lists = [(f"{kind}:{name}", p) for kind, group in (("staged", rules.staged), ("label", rules.labels), ("veto", rules.vetoes)) for name, patterns in group.items() for p in patterns]
+    every = F.array(*(F.struct(F.lit(name).alias("list"), F.lit(p).alias("pattern"), match_spans(given, alternation([p])).alias("spans")) for name, p in lists))
+    hits = F.filter(every, lambda h: F.size(h["spans"]) > 0)
+    return hits, joined_spans(F.flatten(F.transform(hits, lambda h: h["spans"])))
+
+
 def status_dates(body: Column, day: Column, patterns: dict[str, list[str]]) -> Column:
     """C11: struct of dates, the message's day where a body pattern of the status matches."""
     return F.struct(*(F.when(matches(body, p), day).alias(f"{name}_date") for name, p in patterns.items()))
@@ -171,10 +222,39 @@ def _oracle(rules: Rules) -> str:
     return f"WITH x AS (SELECT id, subject, subject || ' ' || body AS t, starts_with(subject, 'Re: ') AS reply, company_id % 20 IN (3, 7) AS hh FROM messages) SELECT id, CASE {cases} END AS label FROM x"
 
 
-@query("c01_c02_rule_classification", _oracle(DEFAULT))
+#: The default rules and patterns that the test tables' messages hold.
+TABLE_RULES = DEFAULT.plus(
+    staged={
+        "confirmation_subject": [r"role 6 at firm 1\b"],
+        "incomplete": [r"role 5 .*number 9"],
+        "cancelled": [r"role 4 .*number 8"],
+        "rejection": [r"purchase number [0-4]\b"],
+        "prescreen": [r"click number 1\b"],
+        "scheduling": [r"click number [23]\b"],
+        "application": [r"signup number [0-5]\b"],
+        "referral": [r"signup number 6\b"],
+        "status_update": [r"view number 0\b"],
+        "application_confirmation": [r"signup number 7\b"],
+        "contact": [r"number 8\b"],
+    },
+    labels={
+        "offer": [r"purchase number 5\b"],
+        "head_hunter": [r"click number [89]\b"],
+        "noise": [r"error number [0-6]\b"],
+        "job_application": [r"signup number [89]\b"],
+        "interview_invite": [r"click number [4-7]\b"],
+        "other": [r"view number [1-5]\b"],
+        "referral": [r"purchase number 6\b"],
+        "ghosted": [r"view number 6\b"],
+    },
+    vetoes={"noise": [r"error number 3\b"], "head_hunter": [r"role 0"], "referral": [r"role 1"]},
+)
+
+
+@query("c01_c02_rule_classification", _oracle(TABLE_RULES))
 def _(t):
     heads = email_domain("sender").isin("d3.example.com", "d7.example.com")
-    return t.messages.select("id", classify(F.col("subject"), F.col("body"), headhunter=heads).alias("label"))
+    return t.messages.select("id", classify(F.col("subject"), F.col("body"), TABLE_RULES, headhunter=heads).alias("label"))
 
 
 @query("c03_c04_simple_rules_before_after", "WITH x AS (SELECT CASE WHEN regexp_matches(body, '(?i)purchase number [0-4]') THEN 'rejection' WHEN regexp_matches(body, '(?i)signup') THEN 'job_application' END AS old_label, CASE WHEN regexp_matches(body, '(?i)purchase number [0-4]|view number 9') THEN 'rejection' WHEN regexp_matches(body, '(?i)signup') THEN 'job_application' END AS new_label FROM messages) SELECT old_label, new_label, count(*) AS n FROM x GROUP BY ALL")
@@ -199,7 +279,7 @@ def _(t):
 
 @query("c08_post_adjustment", "SELECT id, CASE WHEN ml_label = 'interview_invite' AND contains(lower(body), 'offer') THEN 'other' WHEN ml_label = 'interview_invite' AND contains(body, 'number 4') AND confidence < 0.7 THEN 'other' WHEN ml_label IN ('other', 'response') AND contains(body, 'number 5') THEN 'interview_invite' ELSE ml_label END AS label FROM messages")
 def _(t):
-    return t.messages.select("id", adjusted(F.col("ml_label"), F.col("body"), F.col("confidence")).alias("label"))
+    return t.messages.select("id", adjusted(F.col("ml_label"), F.col("body"), F.col("confidence"), "offer", "number 4", "number 5").alias("label"))
 
 
 @query("c09_overrides", "WITH x AS (SELECT *, company_id % 20 AS d FROM messages) SELECT id, CASE WHEN d = 8 THEN 'noise' WHEN d = 9 AND NOT contains(body, 'signup') THEN 'noise' WHEN d IN (3, 7) AND ml_label IN ('job_application', 'interview_invite', 'rejection', 'prescreen') THEN 'head_hunter' WHEN starts_with(subject, 'Fwd:') THEN 'other' WHEN company_id = 77 THEN 'other' ELSE ml_label END AS label FROM x")
@@ -250,6 +330,16 @@ def _(t):
     return t.messages.select("id", F.array_join(F.transform(found, lambda p: p["label"]), ",").alias("labels"))
 
 
+@query("c21_highlights")
+def _(t):
+    m = t.messages.select("id", F.concat_ws(" ", "subject", "body").alias("text"))
+    hits, _ = highlights(F.col("text"), TABLE_RULES)
+    rows = m.select("id", "text", hits.alias("hits")).withColumn("marks", joined_spans(F.flatten(F.transform("hits", lambda h: h["spans"]))))
+    shown = F.transform("marks", lambda x: F.substring("text", x["start"] + 1, x["end"] - x["start"]))
+    places = F.transform("marks", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return rows.select("id", F.array_join(F.transform("hits", lambda h: h["list"]), ",").alias("lists"), F.array_join(places, ",").alias("places"), F.array_join(shown, "|").alias("shown"))
+
+
 @query("m10_m19_label_vocabulary", "SELECT CASE lower(status) WHEN 'rejected' THEN 'rejection' WHEN 'interview' THEN 'interview_invite' WHEN 'application' THEN 'job_application' WHEN 'headhunter' THEN 'head_hunter' ELSE lower(status) END AS label, count(*) AS n FROM companies GROUP BY 1")
 def _(t):
     return t.companies.groupBy(canonical_label("status").alias("label")).agg(F.count("*").alias("n"))

@@ -184,3 +184,16 @@ def _(t):
     odd = F.when(F.col("id") % 4 == 0, F.lit("(?#x) <Script> ")).otherwise(F.lit(""))
     value = F.concat(F.lit("  "), odd, "sender", F.lit(' & "'), "subject", F.lit('" '))
     return t.messages.select("id", text.sanitised_input(value, 75).alias("shown"), text.safe_pattern(F.concat(odd, "body")).alias("safe"))
+
+
+# a keyword of the default areas after each text, so that every area is met
+_KEYWORDS = [w for words in html.FOCUS_AREAS.values() for w in words]
+_LIST = ", ".join(f"'{w}'" for w in _KEYWORDS)
+_AREAS = ", ".join(f"({i}, '{a}', '{w}')" for i, (a, words) in enumerate(html.FOCUS_AREAS.items()) for w in words)
+
+
+@query("f40_default_areas", f"WITH x AS (SELECT doc_id, lower(text || ' ' || ([{_LIST}])[1 + doc_id % {len(_KEYWORDS)}] || ' ' || ([{_LIST}])[1 + doc_id // 7 % {len(_KEYWORDS)}] || ' ') AS low FROM documents), s AS (SELECT doc_id, k.i, k.area, sum((length(low) - length(replace(low, k.w, ''))) // length(k.w)) AS n FROM x, (VALUES {_AREAS}) k(i, area, w) GROUP BY ALL) SELECT doc_id, string_agg(area, '; ' ORDER BY n DESC, i) AS areas FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rn FROM s WHERE n > 0) WHERE rn <= 3 GROUP BY 1")
+def _(t):
+    words = F.array(*map(F.lit, _KEYWORDS))
+    text = F.concat("text", F.lit(" "), F.get(words, (F.col("doc_id") % len(_KEYWORDS)).cast("int")), F.lit(" "), F.get(words, (F.floor(F.col("doc_id") / 7) % len(_KEYWORDS)).cast("int")), F.lit(" "))
+    return t.documents.select("doc_id", F.array_join(html.top_areas(text), "; ").alias("areas"))
