@@ -376,7 +376,7 @@ class _Arrays:
     """The model's files, read through memory maps."""
 
     def __init__(self, model: KneserNey, maps: Mapped) -> None:
-        self.m, self.maps, self.files = model, maps, {}
+        self.m, self.maps = model, maps
 
     def dense(self, name: str, ids: np.ndarray, width: int) -> np.ndarray:
         """Rows of a dense array for sorted ids; zeros in blocks without any entry."""
@@ -396,10 +396,7 @@ class _Arrays:
         for a, b in zip(at, at[1:], strict=False):
             s = int(shard[order[a]])
             if s in self.m.there[name]:
-                key = f"{name}-{s:06d}"
-                if key not in self.files:
-                    self.files[key] = _Contexts(self.maps, f"{self.m.folder}/{key}")
-                yield order[a:b], self.files[key]
+                yield order[a:b], _Contexts(self.maps, f"{self.m.folder}/{name}-{s:06d}")  # views only: what ``maps`` lets go is free
 
     def continuations(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Continuation counts of bigrams."""
