@@ -10,10 +10,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import email_domain
+from ..operators.resolve import suffix_join
 from ..operators.rollup import EMPTY_STATE, propagate
 from ..plans.adapters import SQL
 from ..plans.lineage import new_path
 from ..registry import query
+from ..sources.mailbox import register, write_mailbox
+from ..sources.sinks import write_dictionary
+from ..sources.versioned import VersionedDictionary, with_dictionary
 from .ordered import in_event_order
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -168,3 +173,31 @@ def _(t):
     rows, end = in_files(t)
     open_end = end.stream.withColumn("ml_label", F.lit("other"))  # rows without a label are left out
     return run_available(thread_states(rows.union(open_end), late=ANY_ORDER), "update", ["thread_id"], end).filter("thread_id IS NOT NULL").select("thread_id", "ml_label", "interview_date")
+
+
+@query("s09_k13_stream_with_dictionary", "SELECT id, CASE WHEN company_id % 20 IN (1, 2, 4, 5, 6) THEN 'company' WHEN company_id % 20 IN (3, 7) THEN 'headhunter' WHEN company_id % 20 = 9 THEN 'job_board' END AS kind FROM messages")
+def _(t):
+    path = f"{new_path(t.spark, 'dictionary')}/words.json"
+    write_dictionary(t.aliases, t.domains.filter("kind <> 'personal' AND domain LIKE 'd%'"), path)
+    rows, _ = in_files(t)
+    done = with_dictionary(rows, VersionedDictionary(t.spark, path), lambda batch, d: suffix_join(batch.withColumn("host", email_domain("sender")), "host", d["domains"]).select("id", "kind"))
+    return t.spark.read.parquet(f"{done}/rows").select("id", "kind")
+
+
+def _mailbox(t) -> str:
+    path = new_path(t.spark, "mailbox")
+    write_mailbox(t.messages, path, page=200)
+    register(t.spark)
+    return path
+
+
+@query("s02_mailbox_pushdown", "SELECT msg_id, thread_id, subject FROM messages WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-16 12:00:00' AND contains(subject, 'Role 3')")
+def _(t):
+    mails = t.spark.read.format("mailbox").load(_mailbox(t))
+    return mails.filter("ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-16 12:00:00'").filter(F.col("subject").contains("Role 3")).select("msg_id", "thread_id", "subject")
+
+
+@query("s02_s03_mailbox_stream", "SELECT msg_id, ts FROM messages")
+def _(t):
+    stream = t.spark.readStream.format("mailbox").load(_mailbox(t))
+    return run_available(once_each(stream, late=ANY_ORDER).select("msg_id", "ts"))
