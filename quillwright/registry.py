@@ -21,6 +21,7 @@ MODULES = [
     "operators.resolve",
     "operators.cascade",
     "operators.aliases",
+    "operators.company_model",
     "operators.dedup",
     "operators.rollup",
     "operators.audits",

@@ -20,7 +20,8 @@ def con():
 def test_query(spark, con, name):
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert registry.queries()[name](spark, FOLDER).columns
+        df = registry.queries()[name](spark, FOLDER)
+        assert df.columns and df.inputFiles()
         return
     (names, got), (wanted_names, want) = both(spark, FOLDER, registry.queries()[name], sql, con)
     assert names == wanted_names
