@@ -154,7 +154,9 @@ def _raw_mails(t) -> DataFrame:  # noqa: ANN001
     """Raw mails of the messages: headers in two charsets, plain and HTML parts, a calendar, and an id of its own on every third."""
     subject = F.when(F.col("id") % 2 == 0, F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat("subject", F.lit(" é")), "utf-8")), F.lit("?="))).otherwise(F.concat(F.lit("=?iso-8859-1?Q?"), F.replace("subject", F.lit(" "), F.lit("_")), F.lit("_=E9?=")))
     own = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Message-ID: <"), "msg_id", F.lit("@x.example>\n"))).otherwise(F.lit(""))
-    head = F.concat(F.lit("From: "), "sender", F.lit("\nSubject: "), subject, F.lit("\nDate: Mon, 01 Jan 2024 10:00:00 +0000\n"), own, F.lit('MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n'))
+    extra = [(7, 0, "List-Unsubscribe: <mailto:u@x.example>"), (8, 1, "Precedence: bulk"), (9, 2, "Auto-Submitted: auto-generated"), (10, 3, "Reply-To: r@x.example"), (11, 4, "Organization: Acme Works")]
+    hints = F.concat(*(F.when(F.col("id") % n == k, f"{line}\n").otherwise("") for n, k, line in extra))
+    head = F.concat(F.lit("From: "), "sender", F.lit("\nSubject: "), subject, F.lit("\nDate: Mon, 01 Jan 2024 10:00:00 +0000\n"), own, hints, F.lit('MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n'))
     plain = F.concat(F.lit("--b\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(F.concat("body", F.lit(" ü")), "utf-8")), F.lit("\n"))
     page = F.concat(F.lit("--b\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n<p>page=20of </p><b>"), "msg_id", F.lit(" =C3=BC</b>\n"))
     invite = F.concat(F.lit("--b\nContent-Type: text/calendar\n\nBEGIN:VEVENT\nORGANIZER;CN=X:mailto:Boss"), F.col("company_id").cast("string"), F.lit("@D2.example.com\nEND:VEVENT\n"))
@@ -185,11 +187,16 @@ def _(t):
     return assign_threads(new, t.messages.filter("id % 5 <> 0")).select("msg_id", "thread_id")
 
 
-@query("s08_s21_decoding_summary", "SELECT CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'no message id' END AS outcome, count(*) AS n, count(*) FILTER (id % 5 = 0) AS invitations, 0 AS newsletters FROM messages GROUP BY 1")
+@query("s08_s21_decoding_summary", "SELECT CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'no message id' END AS outcome, count(*) AS n, count(*) FILTER (id % 5 = 0) AS invitations, count(*) FILTER (id % 7 = 0) AS newsletters FROM messages GROUP BY 1")
 def _(t):
     return decoding_summary(_raw_mails(t).select(mail.decoded_with_id("raw").alias("m")).select("m.*"))
 
 
+@query("f36_header_hints", "SELECT id, id % 7 = 0 AS newsletter, id % 8 = 1 AS bulk, false AS no_reply, id % 9 = 2 AS auto_submitted, CASE WHEN id % 10 = 3 THEN 'r@x.example' END AS reply_to, CASE WHEN id % 11 = 4 THEN 'Acme Works' END AS organization FROM messages")
+def _(t):
+    return _raw_mails(t).select("id", mail.decoded("raw")["header_hints"].alias("h")).select("id", "h.*")
+
+
 @query("f42_mail_dates", "SELECT id, date_trunc('second', ts) AS ts FROM messages")
 def _(t):
     # both forms, in turn

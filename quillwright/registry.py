@@ -26,6 +26,7 @@ MODULES = [
     "operators.rollup",
     "operators.audits",
     "operators.learning",
+    "operators.reports",
     "streaming.flows",
 ]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

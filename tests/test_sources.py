@@ -104,3 +104,20 @@ def test_csv_and_model_free_sinks(spark, tmp_path):
     frames = readers.dictionary(spark, f"{tmp_path}/words.json")
     assert [(r.alias, r.company) for r in frames["aliases"].orderBy("ord").collect()] == [("a", "A"), ("b", "B")]
     assert {(r.domain, r.kind) for r in frames["domains"].collect()} == {("x.example", "company"), ("y.example", "ats")}
+
+
+def test_reports_have_their_columns(spark, tmp_path):
+    """A report is written with the columns of its kind and read back by the readers (S11, S12); others are refused."""
+    from quillwright.operators import reports
+
+    messages = spark.createDataFrame([(1, "m1", "t", 'a "quoted", text', "s", "noise", 0.256, True, BASE), (2, "m2", None, None, None, None, None, None, None)], "id bigint, msg_id string, thread_id string, subject string, sender string, ml_label string, confidence double, reviewed boolean, ts timestamp")
+    predicted = spark.createDataFrame([(1, "other", 0.5, "model")], "id bigint, label string, confidence double, method string")
+    df = reports.reclassified_report(messages, predicted)
+    reports.write_report("reclassified", df, f"{tmp_path}/r")
+    back = {r.message_id: r for r in spark.read.schema(readers.RECLASSIFIED).option("header", True).option("escape", '"').csv(f"{tmp_path}/r").collect()}
+    assert (back["m1"].subject, back["m1"].old_conf, back["m1"].new_label, back["m1"].new_conf) == ('a "quoted", text', 0.26, "other", 0.5)
+    assert (back["m2"].old_label, back["m2"].new_conf, back["m2"].method) == (None, 0.0, "unknown")
+    with pytest.raises(ValueError, match="labels"):
+        reports.write_report("labels", df, f"{tmp_path}/x")
+    counters = reports.disagreement_counters(df.select("old_label", "new_label", "method"))
+    assert {k: sorted(map(tuple, v.collect())) for k, v in counters.items()} == {"by_pair": [("noise", "other", 1)], "by_old_label": [("noise", 1)], "by_new_label": [("other", 1)], "by_method": [("model", 1)]}
