@@ -92,8 +92,15 @@ CASES = [
 
 def test_decision_list(spark):
     df = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(CASES)], "i int, s string, b string")
-    got = {r.i: r.label for r in df.select("i", rules.classify(F.col("s"), F.col("b")).alias("label")).collect()}
+    # the rules of the queries: the library's own and what the test tables hold
+    got = {r.i: r.label for r in df.select("i", rules.classify(F.col("s"), F.col("b"), rules.TABLE_RULES).alias("label")).collect()}
     assert [got[i] for i in range(len(CASES))] == [c[2] for c in CASES]
+    # the library's own alone: the same but for the error numbers
+    got = {r.i: r.label for r in df.select("i", rules.classify(F.col("s"), F.col("b")).alias("label")).collect()}
+    assert [got[i] for i in range(len(CASES))] == [None if "error" in (c[1] or "") else c[2] for c in CASES]
+    own = [("Hi", "news, unsubscribe", "noise"), ("Hi", "interview confirmed, unsubscribe", "interview_invite"), ("Hi", "we regret to inform you", "rejection"), ("Hi", "no response to our mail", "ghosted")]
+    rows = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(own)], "i int, s string, b string")
+    assert {r.i: r.label for r in rows.select("i", rules.classify(F.col("s"), F.col("b")).alias("label")).collect()} == {i: c[2] for i, c in enumerate(own)}
 
 
 def test_names(spark):
