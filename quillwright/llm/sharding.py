@@ -4,8 +4,8 @@ Pass 1 scatters records uniformly over memory-sized buckets by a seeded hash of
 the key alone, so that a key, a source or a null id that holds a third of all rows spreads out; nor of the record alone, so that rows
 that are equal in every column do too). Pass 2 shuffles each bucket in memory by
 Fisher-Yates, with a generator seeded by (seed, bucket), and writes it. The bucket's rows are sorted before, so that a
-repeated task gives the same permutation. A cheap first job counts the buckets; a row's rank in the whole shuffle is then
-its bucket's offset plus its place (a bucket whose size differs from the count fails: the input must read the same twice, as files do), and rank g of n goes to shard floor(g * shards / n): counts differ by one at most and
+repeated task gives the same permutation. A cheap first job counts the buckets, and their offsets are a table that meets the buckets by a join (no list of buckets on
+the driver); a row's rank in the whole shuffle is then its bucket's offset plus its place (a bucket whose size differs from the count fails: the input must read the same twice, as files do), and rank g of n goes to shard floor(g * shards / n): counts differ by one at most and
 a bucket touches one or two shards, so few files are written.
 
 Law: ``rows``. Defined results: null text — size 16, CRC-32 of no bytes; repeated rows — each gets a slot of its own (rows
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import field, free, new_folder, pieces, without
+from .common import cut, field, free, new_folder, pieces, without
 
-SHARDS, SEED, BUCKET_BYTES = 40, 20240229, 8 << 20
+SHARDS, SEED, BUCKET_BYTES, GROUP = 40, 20240229, 8 << 20, 4096
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -49,25 +49,28 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     hashed = [F.monotonically_increasing_id(), *(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)]
     bucket, place = free(docs.columns, "bucket"), free(docs.columns, "place")
     given = docs.select(F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(buckets)).alias(bucket), F.xxhash64(F.lit(seed + 1), *hashed).alias(place), "*")
-    counts = {r[0]: r[1] for r in given.groupBy(bucket).count().collect()}  # one row for each memory-sized bucket
-    total = sum(counts.values())
-    offsets = np.concatenate(([0], np.cumsum([counts.get(b, 0) for b in range(buckets)]))).astype(np.int64)
+    # rows before each bucket: sums inside groups of buckets, and over the groups; one number for the whole reaches the driver
+    sizes = cut(given.groupBy(F.col(bucket).alias("b")).agg(F.count("*").alias("n")).withColumn("g", F.floor(F.col("b") / GROUP)), "shuffle-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = sizes.groupBy("g").agg(F.sum("n").alias("m")).select("g", F.coalesce(F.sum("m").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("far"))
+    near = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("near", near).join(groups, "g").select(F.col("b").alias(bucket), "n", (F.col("far") + F.col("near")).alias("before"))
     path = path or f"{new_folder(spark, 'shards')}/data"
     schema = ", ".join(["shard int", "slot bigint", *map(field, docs.schema)])
 
-    def shuffle(key: tuple, table: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        if table.num_rows != counts.get(b, 0):
-            raise ValueError(f"bucket {b}: {counts.get(b, 0)} rows when counted, {table.num_rows} now: write the input to a table first")
+    def shuffle(key: tuple, table: pa.Table, counted: pa.Table) -> pa.Table:
+        b, n, first = key[0].as_py(), *(counted.column(c)[0].as_py() if counted.num_rows else 0 for c in ("n", "before"))
+        if table.num_rows != n:
+            raise ValueError(f"bucket {b}: {n} rows when counted, {table.num_rows} now: write the input to a table first")
         table = table.sort_by([(place, "ascending")]).drop_columns([bucket, place])
         order = fisher_yates(table.num_rows, np.random.default_rng([seed, b]))
-        rank = offsets[b] + np.arange(table.num_rows)
+        rank = first + np.arange(table.num_rows)
         shard = rank * shards // total
         slot = rank - -(-shard * total // shards)
         table = table.take(pa.array(order))
         return pa.table([pa.array(shard.astype(np.int32)), pa.array(slot), *table.columns], names=["shard", "slot", *table.column_names])
 
-    given.groupBy(bucket).applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
+    given.groupBy(bucket).cogroup(offsets.groupBy(bucket)).applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
     if not total:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
