@@ -36,11 +36,16 @@ def contained_name(rows: DataFrame, key: str, text: str, names: DataFrame, longe
     return rows.join(found, key, "left")
 
 
-def tiers(**candidates: Column) -> tuple[Column, Column]:
-    """(value, provenance) of the first tier with a value, in the order given."""
-    value = F.coalesce(*candidates.values())
-    source = F.coalesce(*(F.when(c.isNotNull(), name) for name, c in candidates.items()), F.lit("unresolved"))
-    return value, source
+def first_tier(**candidates: Column) -> Column:
+    """struct(value, source) of the first tier with a value, in the order given; null if none has one.
+
+    A tier's candidate is worked out once, and only where the tiers before it have none.
+    """
+
+    def tier(name: str, candidate: Column) -> Column:
+        return F.get(F.transform(F.array(candidate), lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(name).alias("source")))), F.lit(0))
+
+    return F.coalesce(*(tier(name, c) for name, c in candidates.items()))
 
 
 # fixed values: two mail domains whose mails name the employer in the body, the pattern and the provenance of each
@@ -108,7 +113,8 @@ def resolve(messages: DataFrame, domains: DataFrame, aliases: DataFrame, me: str
         "sender_name_match": F.col("__known"),
         "organization_header": F.when(~person_like("organization"), F.nullif(F.trim("organization"), F.lit(""))),
     }
-    value, source = tiers(**{k: c if k == "user_sent_to_company" else F.when(others, c) for k, c in tier.items()})
+    rows = rows.withColumn("__tier", first_tier(**{k: c if k == "user_sent_to_company" else F.when(others, c) for k, c in tier.items()}))
+    value, source = F.col("__tier.value"), F.coalesce("__tier.source", F.lit("unresolved"))
     skip = F.coalesce(F.col("ml_label").isin("noise", "head_hunter"), F.lit(False))
     out = rows.select(*messages.columns, F.when(~skip, F.nullif(value, F.lit(""))).alias("resolved"), F.when(skip, "skipped").otherwise(source).alias("provenance"))
     spelled = aliases.select("alias", "company", F.lit(1).alias("far"), "ord").union(domains.filter("company IS NOT NULL").select("company", "company", F.lit(0), "ord"))
