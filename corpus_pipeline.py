@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least id, or else the first stored.
+    """Keep one document of each class of near-duplicates (SimHash, five-word shingles, similarity 0.8 or more): the one with the least id, or else the first stored.
 
     Null and empty texts are a class of their own; an id counts before none; rows that are equal in all columns are copies like others.
     """

@@ -133,6 +133,42 @@ def within(queries: np.ndarray, planes: np.ndarray, lanes: int, radius: int, eve
     return q[found][row], w[found][row] * 64 + lane
 
 
+def within_wide(queries: np.ndarray, planes: np.ndarray, lanes: int, radius: int) -> np.ndarray:
+    """Masks (query, word of 64 lanes) of the pairs at distance ``radius`` or less, for any radius and fingerprints of several words.
+
+    ``queries`` has a row of words for each fingerprint, ``planes`` the planes of all words, one after another. Counters have as
+    many bits as ``radius`` needs and start so high that one more than it overflows; planes are added by a tree of carry-save adders.
+    """
+    top = radius.bit_length()
+    shape = (len(queries), planes.shape[1])
+    spare = (1 << top) - 1 - radius
+    count = [np.full(shape, ~np.uint64(0) if spare >> i & 1 else 0, np.uint64) for i in range(top)]
+    held, half = [np.empty(shape, np.uint64) for _ in range(top + 1)], np.empty(shape, np.uint64)
+    flips = np.unpackbits(queries.astype("<u8").view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little").T[:, :, None] * ~np.uint64(0)
+
+    def add(level: int, b: int, x: np.ndarray) -> None:
+        """Adds 2**level planes from ``b`` on; ``x`` gets the carry of that weight."""
+        if not level:
+            np.bitwise_xor(planes[b], flips[b], out=x)
+            return
+        y, c = held[level - 1], count[level - 1]
+        add(level - 1, b, x)
+        add(level - 1, b + (1 << (level - 1)), y)
+        np.bitwise_xor(c, x, out=half)
+        np.bitwise_and(c, x, out=x)
+        np.bitwise_xor(half, y, out=c)
+        np.bitwise_and(half, y, out=half)
+        np.bitwise_or(x, half, out=x)
+
+    over = np.zeros(shape, np.uint64)
+    if lanes % 64:
+        over[:, -1] = ~np.uint64(0) << np.uint64(lanes % 64)
+    for b in range(0, len(planes), 1 << top):
+        add(top, b, held[top])
+        over |= held[top]
+    return ~over
+
+
 def links_in(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into left, into right) of a spanning forest of the links between two lists of fingerprints."""
     n = len(left)
