@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import address, display_name, email_domain, normal_name, valid_name
+from ..plans.lineage import written
 from ..registry import query
 from .matching import first_by_order, held_names
 from .resolve import plain_body, resolve, suffix_join
@@ -142,7 +143,10 @@ def subject_company(mails: DataFrame, domains: DataFrame, names: DataFrame, alia
     candidate has null in ``company`` and ``stage``.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = mails.select("id", text("subject").alias("whole"), text("sender").alias("sender"), text("body").alias("body"))
+    contents = mails.select("id", text("subject").alias("whole"), text("sender").alias("sender"), text("body").alias("body"))
+    # mails repeat, from templates: each distinct one is worked out once, under a number of its own
+    each = written(contents.select("whole", "sender", "body").distinct().withColumn("id", F.monotonically_increasing_id()), "distinct-mails")
+    rows = each
     rows = rows.withColumn("subject", F.trim(F.regexp_replace(F.trim("whole"), _re(REPLY), ""))).withColumn("plain", F.coalesce(plain_body("body"), F.lit("")))
     host, organizer = email_domain("sender"), organizer_domain(F.col("body"))
     rows = rows.withColumn("host", F.when(organizer.isNotNull() & (host.isNull() | F.col("body").rlike(_re(MEETING))), organizer).otherwise(host))
@@ -150,7 +154,7 @@ def subject_company(mails: DataFrame, domains: DataFrame, names: DataFrame, alia
     rows = rows.withColumn("prefix", F.substring_index(F.substring_index(F.lower(F.trim(address("sender"))), "@", 1), "+", 1)).withColumn("kept", remembered_name(F.col("display")))
     rows = suffix_join(rows, "host", domains.filter("kind = 'ats'").select("domain", "ord", F.lit(True).alias("ats")), small=False).drop("matched", "ord")
     rows = suffix_join(rows, "host", domains.filter("kind = 'company'").select("domain", "ord", F.col("company").alias("mapped")), small=False).drop("matched", "ord")
-    rows = rows.withColumn("ats", F.coalesce("ats", F.lit(False)))
+    rows = written(rows.withColumn("ats", F.coalesce("ats", F.lit(False))), "mail-senders")
     spelled = first_by_order(names, F.lower("name"), ["name"])
     canonical = first_by_order(aliases, F.lower("alias"), ["company"])
 
@@ -202,7 +206,7 @@ def subject_company(mails: DataFrame, domains: DataFrame, names: DataFrame, alia
     rows = rows.withColumn("found", F.when(special["company"].isNotNull(), special).otherwise(F.coalesce("found", late.first())))
     if explain:
         rows = rows.withColumn("refused", F.concat(early.refused(), late.refused()))
-    rows = rows.withColumn("company", F.col("found.company")).withColumn("stage", F.col("found.stage")).drop("found", "patterns", "cleared")
+    rows = written(rows.withColumn("company", F.col("found.company")).withColumn("stage", F.col("found.stage")).drop("found", "patterns", "cleared"), "mail-offers")
 
     # known spellings inside the found name or the subject, or what stands after "at"
     both = rows.filter("company IS NOT NULL").select("id", F.concat_ws("\n", "company", "subject").alias("both"))
@@ -234,6 +238,8 @@ def subject_company(mails: DataFrame, domains: DataFrame, names: DataFrame, alia
     company = F.nullif(normal_name(F.when(F.col("take"), F.col("kept")).otherwise(F.col("company"))), F.lit(""))
     stage = F.when(F.col("take"), "display_fallback").when(~F.col("gone"), F.col("stage"))
     out = rows.select("id", company.alias("company"), F.when(company.isNotNull(), stage).alias("stage"), F.when(company.isNotNull() & ~F.col("take"), F.col("canonical")).alias("canonical"), *(["refused"] if explain else []))
+    known = written(each.join(out, "id", "left").drop("id"), "mail-companies")
+    out = contents.join(known, ["whole", "sender", "body"], "left").drop("whole", "sender", "body")
     return mails.drop("company", "stage", "canonical", "refused").join(out, "id", "left")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillwright import registry
 from quillwright.operators import cascade as c
+from quillwright.operators import matching
 from quillwright.operators.matching import held_names
 from quillwright.plans.adapters import Tables
 
@@ -199,3 +200,15 @@ def test_many_names(spark):
         held = [h for h in held if int(h.split()[1]) < 100_000]
         assert got.get(k) == (max(held, key=len) if held else None)
     assert "Cartesian" not in (plan := held_names(texts, "k", "t", names)._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_names_that_begin_alike(spark):
+    """A text meets the names that it holds, not all those with the same first characters; mails that repeat are worked out once."""
+    names = spark.createDataFrame([(f"Nationba Works K{i}", i) for i in range(500)], "name string, ord int")
+    texts = spark.createDataFrame([(i, f"News from nationba works K{i}.") for i in range(100)], "id int, t_ string")
+    (found,) = matching._parts(texts, "id", names)
+    assert found.count() == sum(str(i).startswith(str(j)) for i in range(100) for j in range(500))
+    domains = spark.createDataFrame([], "domain string, kind string, company string, ord int")
+    mails = spark.createDataFrame([(i, f"Your application to Nationba Works K{i % 3}", "a@b.example", None) for i in range(30)], "id int, subject string, sender string, body string")
+    out = c.subject_company(mails, domains, names, spark.createDataFrame([], "alias string, company string, ord int")).collect()
+    assert sorted(r.id for r in out) == list(range(30)) and all(r.company.startswith("Nationba Works K") for r in out)
