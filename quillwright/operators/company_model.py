@@ -45,15 +45,16 @@ def train(rows: DataFrame, label: str, text: str, alpha: float = ALPHA, most_cla
 def predict(rows: DataFrame, key: str, text: str, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(key, predicted, score): the best class of each text, the first by name of equals (to nine decimals); texts without a known term have none."""
     vocabulary, classes = model
-    found = _counts(rows.select(key, text), [key], text).join(vocabulary.select("t").distinct(), "t", "left_semi")
+    # texts are dealt out by key once; with a vocabulary that is broadcast, all that follows for a key stays in its task
+    found = _counts(rows.select(key, text).repartition(F.col(key)), [key], text).join(vocabulary.select("t").distinct(), "t", "left_semi")
     length = found.groupBy(key).agg(F.sum("f").alias("length"))
     shared = found.join(vocabulary, "t").groupBy(key, "c").agg(F.sum(F.col("f") * F.col("gain")).alias("gain"))
-    smallest = classes.groupBy().agg(F.min_by("c", F.struct(-F.round("base", 9), "c")).alias("c"))  # one row
-    others = length.select(key).join(F.broadcast(smallest), F.lit(True)).select(key, "c", F.lit(0.0).alias("gain"))
-    both = shared.unionByName(others).groupBy(key, "c").agg(F.sum("gain").alias("gain"))
-    score = F.round(F.col("length") * F.col("base") + F.col("gain"), 9)
-    scored = both.join(length, key).join(classes, "c").withColumn("score", score)
-    return scored.groupBy(key).agg(F.max(F.struct("score")).alias("best"), F.min_by("c", F.struct(-F.col("score"), "c")).alias("predicted")).select(key, "predicted", F.col("best.score").alias("score"))
+    smallest = classes.groupBy().agg(F.min_by(F.struct("c", "base"), F.struct(-F.round("base", 9), "c")).alias("s"))  # one row
+    score = F.struct(-F.round(F.col("length") * F.col("base") + F.col("gain"), 9), F.col("c"))  # the best is the least
+    best = shared.join(length, key).join(classes, "c").groupBy(key, "length").agg(F.min(score).alias("b"))
+    other = F.struct(-F.round(F.col("length") * F.col("s.base"), 9), F.col("s.c"))  # a shared class has this and a gain: it is never worse
+    met = best.join(F.broadcast(smallest), F.lit(True)).select(key, F.least("b", other).alias("b"))
+    return met.select(key, F.col("b.c").alias("predicted"), (-F.col("b.col1")).alias("score"))
 
 
 _SQL = """WITH d AS (SELECT id, 'Firm ' || company_id % 20 AS c, lower(subject || ' ' || body) AS text FROM messages), x AS (SELECT id, c, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS t FROM d),

@@ -56,3 +56,14 @@ def test_thousands_of_classes(spark):
 def test_nothing_to_learn_from(spark):
     model = train(spark.createDataFrame([], "c string, text string"), "c", "text")
     assert predict(spark.createDataFrame([(1, "a b")], "k int, text string"), "k", "text", model).collect() == []
+
+
+def test_a_text_stays_in_its_task(spark):
+    """Texts are dealt out by key once: what their terms meet in the vocabulary is not sent again."""
+    rows = spark.createDataFrame([(i, f"firm {i % 5}", f"alpha{i % 5} beta gamma{i % 3}") for i in range(60)], "id int, company string, text string")
+    model = train(rows, "company", "text")
+    out = predict(rows, "id", "text", model)
+    assert {r.id: r.predicted for r in out.collect()} == {i: f"firm {i % 5}" for i in range(60)}
+    plan = out._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan ==") :]
+    assert "hashpartitioning(id" in plan and "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\d+, [ct]#", plan)
